@@ -120,3 +120,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
         was = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def sized_lookup(facts: DataFrame, dims: DataFrame, key: str, weight: str, most_rows: int = 20_000) -> DataFrame:
+    """:func:`hot_lookup`, but dims is broadcast whole where it is counted to have at most most_rows rows."""
+    n, total = dims.agg(F.count("*"), F.sum(weight)).first()
+    if n <= most_rows:
+        return facts.join(F.broadcast(dims.drop(weight)), key, "left").select(
+            *facts.columns, *[c for c in dims.columns if c not in (key, weight)]
+        )
+    return hot_lookup(facts, dims, key, weight, total)
