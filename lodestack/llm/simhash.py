@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import checkpoint, components, hot_lookup, small_batches
@@ -124,3 +124,22 @@ def near_duplicates(docs: DataFrame, words: int, id_col: str = "doc_id", text_co
 def op10(docs: DataFrame) -> DataFrame:
     """Fingerprints of three-word shingles and the components they form."""
     return near_duplicates(docs, 3).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one document of each near-duplicate group (see :func:`near_duplicates`).
+
+    The one of the smallest id stays, and of several rows of that id the one of the smallest text. Rows with a null
+    id stay only if their group has no other id; then one of them stays.
+    """
+    prints = checkpoint(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words).select("id", F.xxhash64("text").alias("th"), "fp"))
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("least")))
+    found = components(links(distinct.select("fp")))
+    single = distinct.join(found, F.col("fp") == F.col("node"), "left")
+    first = single.filter("root is not null").groupBy("root").agg(F.min("least").alias("least")).select("least")
+    keep = single.filter("root is null").select("least").unionByName(first)
+    keep = keep.select(F.col("least.id").alias("_id"), F.col("least.th").alias("_th"))
+    own = docs.withColumn("_text", F.xxhash64(F.col(text_col)))
+    nth = Window.partitionBy(id_col, "_text").orderBy(F.lit(1))
+    stay = own.join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi")
+    return stay.withColumn("_nth", F.row_number().over(nth)).filter("_nth = 1").select(*docs.columns)
