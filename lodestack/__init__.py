@@ -1,0 +1 @@
+"""Evidence retrieval over large document collections, on PySpark DataFrames."""
