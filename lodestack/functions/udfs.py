@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def ratio(a: str, b: str) -> float:
@@ -14,7 +15,7 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -31,6 +32,6 @@ def bracket_ids(text: str | None, valid: list[int]) -> str:
     return "".join(pieces)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_ids(texts: pd.Series, valid: pd.Series) -> pd.Series:
     return pd.Series([bracket_ids(t, list(v) if v is not None else []) for t, v in zip(texts, valid, strict=True)], dtype=object)
