@@ -24,7 +24,9 @@ class Corpus:
 
     @staticmethod
     def of(papers: DataFrame, citations: DataFrame, vectors: DataFrame) -> Corpus:
-        return Corpus(papers, citations, vectors, lexical.postings(papers, "pmid", "title", "abstract"), lexical.doc_stats(papers, "pmid", "title", "abstract"))
+        """Index tables made here and kept for the session; a standing corpus reads them from tables instead."""
+        index = lexical.postings(papers, "pmid", "title", "abstract").persist()
+        return Corpus(papers, citations, vectors, index, lexical.doc_stats(papers, "pmid", "title", "abstract").persist())
 
 
 def question_terms(questions: DataFrame, terms) -> DataFrame:
