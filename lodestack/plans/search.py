@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.config import DEFAULT, Settings
@@ -29,29 +29,40 @@ class Corpus:
         return Corpus(papers, citations, vectors, index, lexical.doc_stats(papers, "pmid", "title", "abstract").persist())
 
 
-def question_terms(questions: DataFrame, terms) -> DataFrame:
+def question_terms(questions: DataFrame, terms: Column) -> DataFrame:
     return questions.select("question_id", F.explode(terms).alias("term"))
 
 
 def fused_lists(corpus: Corpus, questions: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Fusion of the dense, any-term, focus-term and (twice) strict lists. questions: question_id, question, vector."""
-    asked = question_terms(questions, T.expand_aliases(T.query_terms("question")))
-    focus = question_terms(questions, T.expand_aliases(T.focus_terms("question")))
+    """Fusion of the dense, any-term, focus-term and (twice) strict lists. questions: question_id, question, vector.
+
+    The any-term and focus-term lists are one BM25 pass whose groups are (question, list). The result is small and
+    kept for the session, since ranking reads it more than once.
+    """
+    key = lambda k: F.struct(F.col("question_id"), F.lit(k).alias("list_id"))
+    terms = lambda k, c: questions.select(key(k).alias("question_id"), F.explode(T.expand_aliases(c)).alias("term"))
+    lexical_lists = lexical.bm25(terms(1, T.query_terms("question")).unionByName(terms(2, T.focus_terms("question"))), corpus.index, corpus.stats, s.lexical_k, s)
+    lexical_lists = lexical_lists.select("question_id.question_id", "pmid", "question_id.list_id", "pos", F.lit(1.0).alias("weight"))
     lists = [
         fusion.tagged(dense.dense(questions.select("question_id", "vector"), corpus.vectors, s.dense_k), 0),
-        fusion.tagged(lexical.bm25(asked, corpus.index, corpus.stats, s.lexical_k, s), 1),
-        fusion.tagged(lexical.bm25(focus, corpus.index, corpus.stats, s.lexical_k, s), 2),
+        lexical_lists,
         fusion.tagged(lexical.bm25_strict(lexical.strict_groups(questions), corpus.index, corpus.stats, s.lexical_k, s), 3, 2.0),
     ]
-    return fusion.relative(fusion.rrf(fusion.union(*lists), s.rrf_k))
+    return fusion.relative(fusion.rrf(fusion.union(*lists), s.rrf_k)).persist()
+
+
+#: What ranking hands on; texts are joined again where they are needed.
+LIGHT = ["question_id", "pmid", "title", "abstract", "journal", "year", "pubtypes", "clinical", "ev", "rel", "overlap", "focus_overlap", "impact", "boost", "citation_count", "rcr", "score", "first_list", "first_pos"]
 
 
 def ranked(corpus: Corpus, questions: DataFrame, fused: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Candidates that pass the filter, scored and ranked; texts join only here, on the few fused ids."""
+    """Candidates that pass the filter, scored and ranked. Texts join only here, on the few fused ids; of an abstract
+    only as much is handed on as tells whether there is one."""
     features = context.features(questions.select("question_id", "question"))
-    found = corpus.papers.join(F.broadcast(fused) if fused.limit(lexical.BROADCAST_ROWS + 1).count() <= lexical.BROADCAST_ROWS else fused, "pmid")
+    found = corpus.papers.join(lexical.small(fused), "pmid")
     met = found.join(features, "question_id").join(corpus.citations, "pmid", "left")
-    return fusion.ranked_by(context.scored(context.candidate_filter(context.measured(met), s), s), "score")
+    kept = context.scored(context.candidate_filter(context.measured(met), s), s)
+    return fusion.ranked_by(kept.withColumn("abstract", F.substring(F.trim("abstract"), 1, s.min_chars)).select(LIGHT), "score")
 
 
 def search(corpus: Corpus, questions: DataFrame, top_n: int, s: Settings = DEFAULT) -> DataFrame:
@@ -60,5 +71,7 @@ def search(corpus: Corpus, questions: DataFrame, top_n: int, s: Settings = DEFAU
     return context.balanced_context(kept, top_n, "kept_rank", s)
 
 
-def select(found: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    return evidence.select_evidence(found.withColumn("rank", F.col("context_pos")), s)
+def select(found: DataFrame, corpus: Corpus, s: Settings = DEFAULT) -> DataFrame:
+    """The chosen evidence of a search result that has the question's text in ``question``."""
+    whole = found.drop("abstract").join(corpus.papers.select("pmid", "abstract"), "pmid")
+    return evidence.select_evidence(whole.withColumn("rank", F.col("context_pos")), s)

@@ -169,8 +169,8 @@ def chosen(spark, d) -> DataFrame:
     v = view(spark, d, "vectors").select((F.col("pmid") - 10000000).alias("question_id"), "vector")
     probes = view(spark, d, "probes")
     expanded = probes.select("question_id", T.retrieval_query("question").alias("question")).join(v, "question_id", "left")
-    found = plan.search(corpus(spark, d), expanded, 30).drop("question").join(probes, "question_id")
-    return plan.select(found)
+    c = corpus(spark, d)
+    return plan.select(plan.search(c, expanded, 30).join(probes, "question_id"), c)
 
 
 # --- scores
