@@ -24,6 +24,8 @@ SAMPLE = 4000
 CHAIN = 64
 #: Characters of text whose features are made at once.
 BLOCK = 4_000_000
+#: Lines whose features are made at once when scoring, and features of a line itself.
+LINES = 50_000
 OWN = 16
 
 
@@ -83,6 +85,10 @@ def chains(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return with_neighbours(line_features(lines), ends - counts, ends - 1), np.array([len(x) + 1.0 for x in lines]), counts
 
 
+def good(both: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700)))
+
+
 @dataclass
 class Chain:
     """Weights of the states' score (features) and of the moves between states (2 x 2; 0 bad, 1 good); scale: slope and
@@ -92,19 +98,40 @@ class Chain:
     move: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)
 
-    def padded(self, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @staticmethod
+    def padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts by falling number of lines, where each begins, and how many have a line t."""
         order = np.argsort(-counts, kind="stable")
         starts = np.cumsum(counts) - counts
-        live = np.array([(counts > t).sum() for t in range(counts.max(initial=0))], dtype=np.int64)
+        live = len(counts) - np.searchsorted(np.sort(counts), np.arange(counts.max(initial=0)), side="right")
         return order, starts[order], live
 
     def marginals(self, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Each line's probability of good; expected moves (2 x 2); summed log normaliser."""
-        score = x @ self.emit
-        order, starts, live = self.padded(x, counts)
-        a = np.zeros((len(x), 2))
+        order, starts, live = self.padded(counts)
+        a, alpha, beta = self.passes(x @ self.emit, starts, live)
+        moves = np.zeros((2, 2))
+        last = (starts + counts[order] - 1)[counts[order] > 0]
+        z = np.zeros(len(counts))
+        z[: len(last)] = np.logaddexp(alpha[last, 0], alpha[last, 1])
+        log_z = float(z.sum())
+        for t in range(1, len(live)):
+            at = starts[: live[t]] + t
+            pair = alpha[at - 1][:, :, None] + self.move + (a[at] + beta[at])[:, None, :] - z[: live[t], None, None]
+            moves += np.exp(pair).sum(axis=0)
+        return good(alpha + beta), moves, log_z
+
+    def line_marginals(self, score: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Each line's probability of good from the lines' scores."""
+        _, starts, live = self.padded(counts)
+        _, alpha, beta = self.passes(score, starts, live)
+        return good(alpha + beta)
+
+    def passes(self, score: np.ndarray, starts: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log scores by state, and the forward and backward sums."""
+        a = np.zeros((len(score), 2))
         a[:, 1] = score
-        alpha, beta, moves, log_z = a.copy(), np.zeros_like(a), np.zeros((2, 2)), 0.0
+        alpha, beta = a.copy(), np.zeros_like(a)
         for t in range(1, len(live)):
             at = starts[: live[t]] + t
             alpha[at] += np.logaddexp(alpha[at - 1, 0:1] + self.move[0], alpha[at - 1, 1:2] + self.move[1])
@@ -112,16 +139,20 @@ class Chain:
             at = starts[: live[t + 1]] + t
             ahead = a[at + 1] + beta[at + 1]
             beta[at] = np.logaddexp(ahead[:, 0:1] + self.move[:, 0], ahead[:, 1:2] + self.move[:, 1])
-        last = (starts + counts[order] - 1)[counts[order] > 0]
-        z = np.zeros(len(counts))
-        z[: len(last)] = np.logaddexp(alpha[last, 0], alpha[last, 1])
-        log_z = z.sum()
-        for t in range(1, len(live)):
-            at = starts[: live[t]] + t
-            pair = alpha[at - 1][:, :, None] + self.move + (a[at] + beta[at])[:, None, :] - z[: live[t], None, None]
-            moves += np.exp(pair).sum(axis=0)
-        both = alpha + beta
-        return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700))), moves, log_z
+        return a, alpha, beta
+
+    def line_scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score of every line of the texts in turn, its weight, and the number of lines of each text. Features are
+        made for LINES lines at a time, so that a text of very many lines takes little memory."""
+        split = [(t or "").split("\n") for t in texts]
+        counts = np.array([len(x) for x in split])
+        lines = [x for xs in split for x in xs]
+        parts = self.emit.reshape(3, OWN).T
+        made = np.concatenate([line_features(lines[at : at + LINES]) @ parts for at in range(0, len(lines), LINES)])
+        ends = np.cumsum(counts)
+        before, after = np.roll(made[:, 1], 1), np.roll(made[:, 2], -1)
+        before[ends - counts], after[ends - 1] = 0, 0
+        return made[:, 0] + before + after, np.array([len(x) + 1.0 for x in lines]), counts
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Length-weighted mean of the good marginals of each text's lines, calibrated."""
@@ -131,8 +162,8 @@ class Chain:
     def log_odds(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x, weight, counts = chains(texts)
-        p, _, _ = self.marginals(x, counts)
+        score, weight, counts = self.line_scores(texts)
+        p = self.line_marginals(score, counts)
         starts = np.cumsum(counts) - counts
         mean = np.clip(np.add.reduceat(p * weight, starts) / np.add.reduceat(weight, starts), 1e-6, 1 - 1e-6)
         return np.log(mean / (1 - mean))
@@ -148,15 +179,15 @@ def calibrate(z: np.ndarray, good: np.ndarray, ridge: float = 1e-2) -> tuple[flo
     return float(max(w[0], 0.05)), float(w[1])
 
 
-def train(texts: list[str | None], good: list[int], rounds: int = 120, decay: float = 1e-3) -> Chain:
+def train(texts: list[str | None], marks: list[int], rounds: int = 120, decay: float = 1e-3) -> Chain:
     """Fit by full-batch Adam on the chains' mean log-likelihood with an L2 penalty. No texts: scores are 0.5."""
     model = Chain(np.zeros(3 * OWN), np.zeros((2, 2)))
     if not texts:
         return model
     x, _, counts = chains(texts)
-    label = np.repeat(np.array(good, dtype=float), counts)
+    label = np.repeat(np.array(marks, dtype=float), counts)
     cut = np.concatenate([np.diff(np.append(np.arange(0, n, CHAIN), n)) for n in counts])
-    side = np.repeat(np.array(good), [-(-n // CHAIN) for n in counts])
+    side = np.repeat(np.array(marks), [-(-n // CHAIN) for n in counts])
     stays = np.zeros((2, 2))
     np.add.at(stays, (side, side), cut - 1)
     emit_seen = x.T @ label
@@ -168,7 +199,7 @@ def train(texts: list[str | None], good: list[int], rounds: int = 120, decay: fl
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - 0.15 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model = Chain(theta[:-4], theta[-4:].reshape(2, 2))
-    return Chain(model.emit, model.move, calibrate(model.log_odds(texts), np.array(good, dtype=float)))
+    return Chain(model.emit, model.move, calibrate(model.log_odds(texts), np.array(marks, dtype=float)))
 
 
 def fold(id_col: Column) -> Column:
