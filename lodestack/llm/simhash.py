@@ -11,13 +11,15 @@ differ there, one half where exactly one may), so a segment that very many texts
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import checkpoint, components, hot_lookup, small_batches
+from lodestack.llm.common import checkpoint, components, drop, hot_lookup, small_batches
 
 #: Shingles whose bits are held at once.
 CHUNK = 1 << 15
@@ -126,20 +128,83 @@ def op10(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, 3).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one document of each near-duplicate group (see :func:`near_duplicates`).
-
-    The one of the smallest id stays, and of several rows of that id the one of the smallest text. Rows with a null
-    id stay only if their group has no other id; then one of them stays.
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another 64-bit hash from a hash (the finaliser of splitmix64)."""
+    h = h ^ np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_prints(text: str | None, prints: int, most: int) -> list[int]:
+    """``prints`` independent SimHashes of the words of a text, each word counted up to ``most`` times."""
+    counts = Counter((text or "").encode().lower().split())
+    if not counts:
+        return [0] * prints
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in counts), dtype="<u8", count=len(counts))
+    times = np.minimum(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), most)
+    out = []
+    for seed in range(prints):
+        ones = np.zeros(64, dtype=np.int64)
+        own = mixed(h, seed)
+        for at in range(0, len(own), CHUNK):
+            bits = np.unpackbits(own[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += times[at : at + CHUNK] @ bits
+        out.append(int(np.packbits((2 * ones > times.sum()).astype(np.uint8), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def similar_texts(texts: DataFrame, apart: int) -> DataFrame:
+    """Links (a, b) between distinct texts. texts: th (hash of the text), prints (array of word SimHashes), fp.
+
+    Each word print is indexed under itself and its 64 one-bit variants. Prints under one variant differ in at most two
+    bits, so at most 65 distinct prints stand there and each is linked to the least, which keeps them connected; texts
+    of one print are linked to the least of them. A link holds only if the shingle fingerprints fp, too, differ in at
+    most ``apart`` bits.
     """
-    prints = checkpoint(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words).select("id", F.xxhash64("text").alias("th"), "fp"))
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("least")))
-    found = components(links(distinct.select("fp")))
-    single = distinct.join(found, F.col("fp") == F.col("node"), "left")
-    first = single.filter("root is not null").groupBy("root").agg(F.min("least").alias("least")).select("least")
-    keep = single.filter("root is null").select("least").unionByName(first)
-    keep = keep.select(F.col("least.id").alias("_id"), F.col("least.th").alias("_th"))
+    each = texts.select("th", "fp", F.posexplode("prints").alias("r", "print")).withColumn("key", F.xxhash64("r", "print"))
+    lead = checkpoint(each.groupBy("key", "r", "print").agg(F.min(F.struct("th", "fp")).alias("lead"), F.count("*").alias("_n")))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= apart
+    shared = lead.filter("_n > 1").select("key", "lead", "_n")
+    own = hot_lookup(each.select("key", "th", "fp"), shared, "key", "_n", texts.count() * 4)
+    own = own.filter(F.col("lead").isNotNull() & close & (F.col("th") != F.col("lead.th"))).select(F.col("th").alias("a"), F.col("lead.th").alias("b"))
+    variants = F.array(F.col("print"), *[F.col("print").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
+    spread = lead.select("r", F.col("lead.th").alias("th"), F.explode(variants).alias("v")).select(F.xxhash64("r", "v").alias("v"), "th")
+    met = spread.groupBy("v").agg(F.collect_set("th").alias("ths")).filter(F.size("ths") > 1)
+    star = met.select(F.array_min("ths").alias("b"), F.explode("ths").alias("a")).filter("a <> b").distinct()
+    side = lambda k: texts.select(F.col("th").alias(k), F.col("fp").alias(f"fp_{k}"))
+    star = star.join(side("a"), "a").join(side("b"), "b").filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= apart)
+    return own.unionByName(star.select("a", "b"))
+
+
+def representatives(docs: DataFrame, words: int = 5, prints: int = 4, most: int = 3, apart: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one document of each near-duplicate group.
+
+    Fingerprints of five-word shingles differ in 4 to 14 bits between texts of a shingle similarity of 0.8 or more, so
+    two bits find hardly any of them and 14 bits have no selective key. Candidates therefore come from ``prints``
+    independent SimHashes of the words (each counted up to ``most`` times), which such texts share within two bits,
+    and are verified by the fingerprints of ``words``-word shingles (see :func:`similar_texts`). Groups are connected
+    components. The document of the smallest id stays, and of several rows of that id the one of the smallest text
+    hash; identical rows become one. Rows with a null id stay only if their group has no other. Null, empty and
+    wordless texts have fingerprint 0 and are linked like any other.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("prints array<long>, fp long")
+    def printed(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"prints": [word_prints(t, prints, most) for t in texts], "fp": [fingerprint(t, words) for t in texts]})
+
+    first = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"))
+    made = docs.select(first.alias("first"), F.xxhash64(F.col(text_col)).alias("th"), printed(F.col(text_col)).alias("p")).select("first", "th", "p.*")
+    made = checkpoint(made)
+    texts = checkpoint(made.groupBy("th").agg(F.min("first").alias("first"), F.min("prints").alias("prints"), F.min("fp").alias("fp")))
+    drop(made)
+    found = components(similar_texts(texts.select("th", "prints", "fp"), apart)).withColumnRenamed("node", "th")
+    rooted = texts.select("th", "first").join(found, "th", "left")
+    best = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct("first", "th")).alias("k")).select("k")
+    keep = rooted.filter("root is null").select(F.struct("first", "th").alias("k")).unionByName(best)
+    keep = keep.select(F.col("k.first.id").alias("_id"), F.col("k.th").alias("_th"))
     own = docs.withColumn("_text", F.xxhash64(F.col(text_col)))
-    nth = Window.partitionBy(id_col, "_text").orderBy(F.lit(1))
     stay = own.join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi")
+    nth = Window.partitionBy(id_col, "_text").orderBy(F.lit(1))
     return stay.withColumn("_nth", F.row_number().over(nth)).filter("_nth = 1").select(*docs.columns)

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
-from lodestack.llm import decontam, mixing, quality, winnow
+from lodestack.llm import decontam, mixing, quality, simhash, winnow
 from test_decontam import edits_anywhere
 from test_simhash import brute_components, brute_print
 
@@ -44,11 +44,25 @@ def test_lines(stages, oracle):
 
 
 def test_near_duplicates(stages):
+    """Against a plain walk over the same variants, and against shingle similarity itself."""
     before, after = stages["near_duplicates"]
-    fp = {r.doc_id: brute_print(r.text, 5) for r in before}
-    ids = sorted(fp)
-    root = brute_components(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fp[a] ^ fp[b]).bit_count() <= 2])
-    assert sorted(r.doc_id for r in after) == sorted(set(root.values()))
+    texts = {}
+    for r in before:
+        texts[r.text] = min(r.doc_id, texts.get(r.text, r.doc_id))
+    fp = {t: brute_print(t, 5) for t in texts}
+    prints = {t: [p & (2**64 - 1) for p in simhash.word_prints(t, 4, 3)] for t in texts}
+    pool = sorted(texts)
+    linked = [(a, b) for i, a in enumerate(pool) for b in pool[:i] if (fp[a] ^ fp[b]).bit_count() <= 14 and any((x ^ y).bit_count() <= 2 for x, y in zip(prints[a], prints[b]))]
+    root = brute_components(pool, linked)
+    groups = {}
+    for t, r in root.items():
+        groups[r] = min(texts[t], groups.get(r, texts[t]))
+    assert sorted(r.doc_id for r in after) == sorted(groups.values())
+    kept = {r.doc_id: r.text for r in after}
+    grams = {t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for t in texts for w in [t.lower().split()]}
+    alike = [(a, b) for i, a in enumerate(pool) for b in pool[:i] if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    missed = sum(texts[a] in kept and texts[b] in kept for a, b in alike)
+    assert missed <= 0.1 * len(alike)
 
 
 def test_decontamination(spark, sf_dir, stages):

@@ -83,3 +83,29 @@ def test_odd_rows(spark):
     assert [(r.doc_id, r.component_id) for r in got[:5]] == [(3, 3), (5, 3), (7, 7), (7, 7), (9, 3)]
     assert sorted(str(r.component_id) for r in got[5:]) == ["7", "None"]
     assert simhash.op10(df.limit(0)).count() == 0
+
+
+def test_representatives_of_copies_and_near_copies(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ta", "ri", "mo", "ne", "lu", "ka", "so"]) for _ in range(rng.randrange(2, 6)))
+    rows, groups = [], []
+    for g in range(25):
+        base = [word() for _ in range(300)]
+        ids = []
+        for k in range(rng.choice([1, 2, 3, 6])):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                own[rng.randrange(300)] = word()
+            ids.append(1000 - len(rows))
+            rows.append((ids[-1], " ".join(own)))
+        groups.append(ids)
+    rows += [(2000, rows[0][1]), (2000, rows[0][1]), (None, rows[0][1]), (None, "lone words here"), (None, "lone words here"), (3000, None), (3001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", simhash.F.lit("x")).withColumn("th", simhash.F.lit(1))
+    got = simhash.representatives(df)
+    assert got.columns == ["doc_id", "text", "fp", "th"]
+    ids = [r.doc_id for r in got.collect()]
+    need = [min(g) for g in groups] + [None, 3000]
+    assert set(need) <= set(ids) and ids.count(None) == 1 and len(ids) == len(set(ids))
+    assert len(ids) - len(need) <= 0.1 * (sum(map(len, groups)) - len(groups))
+    assert not {2000, 3001} & set(ids)
+    assert simhash.representatives(df.limit(0)).count() == 0
