@@ -180,6 +180,19 @@ def runs(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def anchored_grams(paragraphs: DataFrame, anchors: list[str]) -> DataFrame:
+    """(paragraph, gram): the distinct n-grams that hold an anchor word; every weighted n-gram does."""
+    at = paragraphs.select("paragraph", F.split("paragraph", " ").alias("ws"))
+    at = at.withColumn("held", F.array_intersect("ws", F.array(*[F.lit(a) for a in anchors]))).withColumn("size", F.size("ws"))
+    spots = F.filter(F.transform("ws", lambda w, i: F.when(F.array_contains(F.col("held"), w), i + 1)), lambda i: i.isNotNull())
+
+    def around(i: Column) -> Column:
+        made = [F.when((i - b >= 1) & (i - b + n - 1 <= F.col("size")), F.array_join(F.slice("ws", i - b, n), " ")) for n in range(1, LONGEST + 1) for b in range(n)]
+        return F.array(*made)
+
+    return at.select("paragraph", F.explode(F.array_distinct(F.array_compact(F.flatten(F.transform(spots, around))))).alias("gram"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row for each paragraph (line) whose likeliest class is a licence family with probability ``least`` or more:
     id, line (from 0), family, probability, similarity (largest share of a template's shingles in it) and confirmed.
@@ -196,10 +209,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     held = worded.filter(F.arrays_overlap("_words", F.array(*[F.lit(a) for a in anchors]))).select(id_col, "line", F.array_join("_words", " ").alias("paragraph"))
     held = checkpoint(held)
     distinct = checkpoint(held.groupBy("paragraph").agg(F.count("*").alias("n")))
-    words = F.split("paragraph", " ")
-    grams = F.array_distinct(F.concat(*[runs(words, n) for n in range(1, LONGEST + 1)]))
     table = constant(spark, [{"gram": g, "w": w} for g, w in sorted(weights.items())], "gram:string,w:array<double>")
-    scored = distinct.select("paragraph", F.explode(grams).alias("gram")).join(F.broadcast(table), "gram")
+    scored = anchored_grams(distinct, anchors).join(F.broadcast(table), "gram")
     n = len(families) + 1
     sums = scored.groupBy("paragraph").agg(*[F.sum(F.get("w", k).cast("decimal(18,6)")).cast("double").alias(f"s{k}") for k in range(n)])
     logits = [F.exp((F.col(f"s{k}") + F.lit(offsets[k])) / F.lit(temperature)) for k in range(n)]
@@ -209,7 +220,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     named = ranked.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
     shapes = [{"family": f, "shape": sorted({" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))})} for f in families for t in TEMPLATES[f] for w in [words_of(t)]]
     templates = constant(spark, shapes, "family:string,shape:array<string>")
-    own = F.array_union(runs(words, SHINGLE), F.array("paragraph"))
+    own = F.array_union(runs(F.split("paragraph", " "), SHINGLE), F.array("paragraph"))
     alike = named.withColumn("own", own).join(F.broadcast(templates), "family")
     alike = alike.groupBy("paragraph", "family", "probability").agg(F.round(F.max(F.size(F.array_intersect("own", "shape")) / F.size("shape")), 6).alias("similarity"))
     dims = checkpoint(alike.join(distinct, "paragraph").select("paragraph", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"), "n"))
