@@ -39,7 +39,7 @@ VIEWS = {
         CASE WHEN user_id % 4 = 0 THEN NULL ELSE round(avg(value) / 20e0, 4) END AS rcr FROM events GROUP BY user_id""",
     "vectors": "SELECT 10000000 + vec_id AS pmid, embedding AS vector, label FROM embeddings",
     "questions": "SELECT item_id AS question_id, text AS question FROM benchmark",
-    "probes": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(PROBES)) + ") AS p(question_id, question)",
+    "probes": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{q}')" for i, q in enumerate(PROBES)) + ") AS p(question_id, question)",
     "judged": "SELECT 10000000 + doc_id AS pmid, doc_id % 13 AS question_id, 2 * quality + (1 - toxic) AS relevance FROM labels",
     "answers": """SELECT conv_id * 100 + turn AS answer_id, conv_id, concat(text, ' [', CAST(10000000 + conv_id AS STRING), ', ', CAST(10000001 + turn AS STRING), ']',
         CASE WHEN conv_id % 7 = 0 THEN concat(' (PMID ', CAST(10000002 + conv_id AS STRING), ')') ELSE '' END,
