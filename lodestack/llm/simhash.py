@@ -23,22 +23,39 @@ from lodestack.llm.common import checkpoint, components, drop, hot_lookup, small
 
 #: Shingles whose bits are held at once.
 CHUNK = 1 << 15
+#: MinHash bands of a text and minima in each. Texts of similarity s share no band with probability
+#: (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8.
+BANDS, ROWS = 24, 4
+#: Bands used in the rounds in which a band's texts meet only one of them, before the rest meet each other.
+LEADING = (4, BANDS)
+FACTORS = np.random.default_rng(0).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 #: Marks keys of whole segments: above the 54 bits of the keys of one-wildcard variants.
 WHOLE = 1 << 10
 
 
-def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
-    """The SimHash of one whole text, as a signed 64-bit number; null and wordless texts give 0."""
+def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The hashes of all shingles of a text; null and wordless texts have none, short ones a single one."""
     parts = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
     if not parts:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(parts))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(parts) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[s:e], seed) for s, e in spans), dtype="<u8", count=len(parts) - width + 1)
+    return np.fromiter((digest(joined[s:e], seed) for s, e in spans), dtype="<u8", count=len(parts) - width + 1)
+
+
+def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
+    """The SimHash of one whole text, as a signed 64-bit number; null and wordless texts give 0."""
+    return folded(shingles(text, words, seed))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), CHUNK):
         block = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -177,34 +194,100 @@ def similar_texts(texts: DataFrame, apart: int) -> DataFrame:
     return own.unionByName(star.select("a", "b"))
 
 
-def representatives(docs: DataFrame, words: int = 5, prints: int = 4, most: int = 3, apart: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each MinHash band of the shingle hashes."""
+    hashes = hashes if len(hashes) else np.zeros(1, dtype=np.uint64)
+    least = np.array([(hashes * f).min() for f in FACTORS]).reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for j in range(ROWS):
+        keys = mixed(keys ^ least[:, j], 0)
+    return keys.view(np.int64)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more. sets: th, hashes."""
+    pairs = checkpoint(pairs.select("a", "b").distinct())
+    times = pairs.groupBy("b").agg(F.count("*").alias("_n"))
+    dims = checkpoint(sets.select(F.col("th").alias("b"), F.col("hashes").alias("hb")).join(times, "b"))
+    met = hot_lookup(pairs, dims, "b", "_n", pairs.count()).join(sets.select(F.col("th").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = F.size(F.array_intersect("ha", "hb"))
+    out = checkpoint(met.filter(both * (1 + least) >= least * (F.size("ha") + F.size("hb")) - 1e-9).select("a", "b"))
+    drop(pairs, dims)
+    return out
+
+
+def band_links(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between texts of similarity ``least`` or more that share a band. bands: band, key, th.
+
+    In each of the LEADING rounds a band's texts are compared with one of them, another one each round, unless they
+    are connected by then. In what is left, every two texts of a band that are not connected are compared. So any two
+    texts that share a band are compared or connected by verified links.
+    """
+    def rest(root: DataFrame | None) -> DataFrame:
+        """Rows of the bands that hold several components, with the component."""
+        named = bands.withColumn("root", F.col("th")) if root is None else bands.join(root.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+        named = checkpoint(named)
+        mixed_keys = checkpoint(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("_n")).filter("low <> high").select("key", "_n", F.lit(True).alias("open")))
+        return checkpoint(hot_lookup(named, mixed_keys, "key", "_n", named.count()).filter("open").drop("open"))
+
+    found, root = None, None
+    for nth, used in enumerate(LEADING):
+        open_ = rest(root)
+        some = open_.filter(F.col("band") < used)
+        lead = checkpoint(some.groupBy("key").agg(F.min(F.struct(F.xxhash64("th", "key", F.lit(nth)).alias("h"), "th", "root")).alias("lead"), F.count("*").alias("_n")))
+        met = hot_lookup(some, lead, "key", "_n", some.count()).filter("root <> lead.root")
+        good = alike(met.select(F.col("th").alias("a"), F.col("lead.th").alias("b")), sets, least)
+        found = good if found is None else found.unionByName(good)
+        root = checkpoint(components(found))
+        drop(open_, lead)
+    open_ = rest(root)
+    side = lambda k: open_.select("key", F.col("th").alias(k), F.col("root").alias(f"root_{k}"))
+    pairs = side("a").join(side("b"), "key").filter("root_a < root_b")
+    return found.unionByName(alike(pairs, sets, least))
+
+
+def representatives(docs: DataFrame, words: int = 5, prints: int = 4, most: int = 3, apart: int = 14, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each near-duplicate group.
 
-    Fingerprints of five-word shingles differ in 4 to 14 bits between texts of a shingle similarity of 0.8 or more, so
-    two bits find hardly any of them and 14 bits have no selective key. Candidates therefore come from ``prints``
-    independent SimHashes of the words (each counted up to ``most`` times), which such texts share within two bits,
-    and are verified by the fingerprints of ``words``-word shingles (see :func:`similar_texts`). Groups are connected
-    components. The document of the smallest id stays, and of several rows of that id the one of the smallest text
-    hash; identical rows become one. Rows with a null id stay only if their group has no other. Null, empty and
-    wordless texts have fingerprint 0 and are linked like any other.
+    Candidates are texts that share a band of MinHashes over their ``words``-word shingles; they are linked if the exact
+    Jaccard similarity of the shingle sets is ``least`` or more (see :func:`band_links`). Texts whose word SimHashes
+    come within two bits and whose fingerprints differ in at most ``apart`` bits are linked, too (see
+    :func:`similar_texts`). Groups are connected components. The document of the smallest id stays, and of several rows
+    of that id the one of the smallest text hash; identical rows become one. Rows with a null id stay only if their
+    group has no other. Null, empty and wordless texts are copies of each other.
     """
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("prints array<long>, fp long")
+    @F.pandas_udf("bands array<long>, prints array<long>, fp long")
     def printed(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"prints": [word_prints(t, prints, most) for t in texts], "fp": [fingerprint(t, words) for t in texts]})
+        made = [shingles(t, words) for t in texts]
+        return pd.DataFrame({"bands": [band_keys(h) for h in made], "prints": [word_prints(t, prints, most) for t in texts], "fp": [folded(h) for h in made]})
+
+    @F.pandas_udf("array<long>")
+    def distinct_shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(h).view(np.int64) if len(h) else np.zeros(1, dtype=np.int64) for h in (shingles(t, words) for t in texts)])
 
     first = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"))
     made = docs.select(first.alias("first"), F.xxhash64(F.col(text_col)).alias("th"), printed(F.col(text_col)).alias("p")).select("first", "th", "p.*")
     made = checkpoint(made)
-    texts = checkpoint(made.groupBy("th").agg(F.min("first").alias("first"), F.min("prints").alias("prints"), F.min("fp").alias("fp")))
+    texts = checkpoint(made.groupBy("th").agg(F.min("first").alias("first"), F.min("bands").alias("bands"), F.min("prints").alias("prints"), F.min("fp").alias("fp")))
     drop(made)
-    found = components(similar_texts(texts.select("th", "prints", "fp"), apart)).withColumnRenamed("node", "th")
+    own = docs.withColumn("_text", F.xxhash64(F.col(text_col)))
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        """The rows of docs that have the ids and texts of keys (_id, _th)."""
+        return own.join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi")
+
+    each = texts.select("th", F.posexplode("bands").alias("band", "key"))
+    shared = checkpoint(each.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("shared", F.lit(True)))
+    bands = checkpoint(hot_lookup(each, shared, "key", "_n", texts.count() * BANDS).filter("shared").drop("shared"))
+    needed = texts.join(bands.select("th").distinct(), "th", "left_semi").select(F.col("first.id").alias("_id"), F.col("th").alias("_th"))
+    sets = rows_of(needed).dropDuplicates(["_text"]).select(F.col("_text").alias("th"), distinct_shingles(F.col(text_col)).alias("hashes"))
+    links_ = band_links(bands, checkpoint(sets), least).unionByName(similar_texts(texts.select("th", "prints", "fp"), apart))
+    found = components(links_).withColumnRenamed("node", "th")
     rooted = texts.select("th", "first").join(found, "th", "left")
     best = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct("first", "th")).alias("k")).select("k")
     keep = rooted.filter("root is null").select(F.struct("first", "th").alias("k")).unionByName(best)
-    keep = keep.select(F.col("k.first.id").alias("_id"), F.col("k.th").alias("_th"))
-    own = docs.withColumn("_text", F.xxhash64(F.col(text_col)))
-    stay = own.join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi")
+    stay = rows_of(keep.select(F.col("k.first.id").alias("_id"), F.col("k.th").alias("_th")))
     nth = Window.partitionBy(id_col, "_text").orderBy(F.lit(1))
     return stay.withColumn("_nth", F.row_number().over(nth)).filter("_nth = 1").select(*docs.columns)

@@ -109,3 +109,26 @@ def test_representatives_of_copies_and_near_copies(spark):
     assert len(ids) - len(need) <= 0.1 * (sum(map(len, groups)) - len(groups))
     assert not {2000, 3001} & set(ids)
     assert simhash.representatives(df.limit(0)).count() == 0
+
+
+def test_near_copies_under_strangers_are_found(spark):
+    """Near copies among many texts over one small vocabulary, whose word prints are alike."""
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(60)]
+    rows, groups = [], []
+    for g in range(30):
+        base = [rng.choice(pool) for _ in range(600)]
+        ids = []
+        for k in range(3):
+            own = list(base)
+            for at in rng.sample(range(600), 5 * k):
+                own[at] = rng.choice(pool)
+            ids.append(len(rows))
+            rows.append((ids[-1], " ".join(own)))
+        groups.append(ids)
+    grams = [{tuple(w[i : i + 5]) for i in range(596)} for w in (t.split() for _, t in rows)]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    want = brute_components(range(len(rows)), alike)
+    assert len(set(want.values())) == 30
+    got = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == set(want.values())
