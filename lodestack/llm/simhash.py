@@ -171,29 +171,6 @@ def word_prints(text: str | None, prints: int, most: int) -> list[int]:
     return out
 
 
-def similar_texts(texts: DataFrame, apart: int) -> DataFrame:
-    """Links (a, b) between distinct texts. texts: th (hash of the text), prints (array of word SimHashes), fp.
-
-    Each word print is indexed under itself and its 64 one-bit variants. Prints under one variant differ in at most two
-    bits, so at most 65 distinct prints stand there and each is linked to the least, which keeps them connected; texts
-    of one print are linked to the least of them. A link holds only if the shingle fingerprints fp, too, differ in at
-    most ``apart`` bits.
-    """
-    each = texts.select("th", "fp", F.posexplode("prints").alias("r", "print")).withColumn("key", F.xxhash64("r", "print"))
-    lead = checkpoint(each.groupBy("key", "r", "print").agg(F.min(F.struct("th", "fp")).alias("lead"), F.count("*").alias("_n")))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= apart
-    shared = lead.filter("_n > 1").select("key", "lead", "_n")
-    own = hot_lookup(each.select("key", "th", "fp"), shared, "key", "_n", texts.count() * 4)
-    own = own.filter(F.col("lead").isNotNull() & close & (F.col("th") != F.col("lead.th"))).select(F.col("th").alias("a"), F.col("lead.th").alias("b"))
-    variants = F.array(F.col("print"), *[F.col("print").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-    spread = lead.select("r", F.col("lead.th").alias("th"), F.explode(variants).alias("v")).select(F.xxhash64("r", "v").alias("v"), "th")
-    met = spread.groupBy("v").agg(F.collect_set("th").alias("ths")).filter(F.size("ths") > 1)
-    star = met.select(F.array_min("ths").alias("b"), F.explode("ths").alias("a")).filter("a <> b").distinct()
-    side = lambda k: texts.select(F.col("th").alias(k), F.col("fp").alias(f"fp_{k}"))
-    star = star.join(side("a"), "a").join(side("b"), "b").filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= apart)
-    return own.unionByName(star.select("a", "b"))
-
-
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One 64-bit key for each MinHash band of the shingle hashes."""
     hashes = hashes if len(hashes) else np.zeros(1, dtype=np.uint64)
@@ -246,31 +223,29 @@ def band_links(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return found.unionByName(alike(pairs, sets, least))
 
 
-def representatives(docs: DataFrame, words: int = 5, prints: int = 4, most: int = 3, apart: int = 14, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each near-duplicate group.
 
     Candidates are texts that share a band of MinHashes over their ``words``-word shingles; they are linked if the exact
-    Jaccard similarity of the shingle sets is ``least`` or more (see :func:`band_links`). Texts whose word SimHashes
-    come within two bits and whose fingerprints differ in at most ``apart`` bits are linked, too (see
-    :func:`similar_texts`). Groups are connected components. The document of the smallest id stays, and of several rows
-    of that id the one of the smallest text hash; identical rows become one. Rows with a null id stay only if their
-    group has no other. Null, empty and wordless texts are copies of each other.
+    Jaccard similarity of the shingle sets is ``least`` or more (see :func:`band_links`). Groups are connected
+    components. The document of the smallest id stays, and of several rows of that id the one of the smallest text hash;
+    identical rows become one. Rows with a null id stay only if their group has no other. Null, empty and wordless texts
+    are copies of each other.
     """
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("bands array<long>, prints array<long>, fp long")
-    def printed(texts: pd.Series) -> pd.DataFrame:
-        made = [shingles(t, words) for t in texts]
-        return pd.DataFrame({"bands": [band_keys(h) for h in made], "prints": [word_prints(t, prints, most) for t in texts], "fp": [folded(h) for h in made]})
+    @F.pandas_udf("array<long>")
+    def banded(texts: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(shingles(t, words)) for t in texts], dtype=object)
 
     @F.pandas_udf("array<long>")
     def distinct_shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(h).view(np.int64) if len(h) else np.zeros(1, dtype=np.int64) for h in (shingles(t, words) for t in texts)])
 
     first = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"))
-    made = docs.select(first.alias("first"), F.xxhash64(F.col(text_col)).alias("th"), printed(F.col(text_col)).alias("p")).select("first", "th", "p.*")
+    made = docs.select(first.alias("first"), F.xxhash64(F.col(text_col)).alias("th"), banded(F.col(text_col)).alias("bands"))
     made = checkpoint(made)
-    texts = checkpoint(made.groupBy("th").agg(F.min("first").alias("first"), F.min("bands").alias("bands"), F.min("prints").alias("prints"), F.min("fp").alias("fp")))
+    texts = checkpoint(made.groupBy("th").agg(F.min("first").alias("first"), F.min("bands").alias("bands")))
     drop(made)
     own = docs.withColumn("_text", F.xxhash64(F.col(text_col)))
 
@@ -283,8 +258,7 @@ def representatives(docs: DataFrame, words: int = 5, prints: int = 4, most: int
     bands = checkpoint(hot_lookup(each, shared, "key", "_n", texts.count() * BANDS).filter("shared").drop("shared"))
     needed = texts.join(bands.select("th").distinct(), "th", "left_semi").select(F.col("first.id").alias("_id"), F.col("th").alias("_th"))
     sets = rows_of(needed).dropDuplicates(["_text"]).select(F.col("_text").alias("th"), distinct_shingles(F.col(text_col)).alias("hashes"))
-    links_ = band_links(bands, checkpoint(sets), least).unionByName(similar_texts(texts.select("th", "prints", "fp"), apart))
-    found = components(links_).withColumnRenamed("node", "th")
+    found = components(band_links(bands, checkpoint(sets), least)).withColumnRenamed("node", "th")
     rooted = texts.select("th", "first").join(found, "th", "left")
     best = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct("first", "th")).alias("k")).select("k")
     keep = rooted.filter("root is null").select(F.struct("first", "th").alias("k")).unionByName(best)

@@ -132,3 +132,20 @@ def test_near_copies_under_strangers_are_found(spark):
     assert len(set(want.values())) == 30
     got = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == set(want.values())
+
+
+def test_texts_under_the_similarity_stay(spark):
+    """Each text of a pair of similarity 0.6 to 0.8 is kept, close as the fingerprints may be; one of each pair above goes."""
+    rng = random.Random(12)
+    rows, want = [], set()
+    for g in range(60):
+        base = [f"u{rng.randrange(50_000)}" for _ in range(400)]
+        own = list(base)
+        for at in rng.sample(range(400), rng.choice([4, 12, 14, 16])):
+            own[at] = f"v{rng.randrange(50_000)}"
+        grams = [{tuple(w[i : i + 5]) for i in range(396)} for w in (base, own)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(own))]
+        want |= {2 * g} | ({2 * g + 1} if len(grams[0] & grams[1]) < 0.8 * len(grams[0] | grams[1]) else set())
+    assert 80 < len(want) < 120
+    got = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
