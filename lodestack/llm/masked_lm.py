@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import small_batches
+from lodestack.llm.common import checkpoint, hot_lookup, small_batches
 
 #: Frequent words with a kind of their own; kinds shared by the others; one more kind stands beyond a text's ends.
 FREQUENT, ENDINGS = 95, 32
@@ -150,10 +150,12 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", rate: float = 1.0) -> tuple[list[str], Network]:
-    """The corpus's most frequent words and the trained network; only these two reach the driver."""
+def fit(docs: DataFrame, text_col: str = "text", rate: float = 1.0, counts: DataFrame | None = None) -> tuple[list[str], Network]:
+    """The corpus's most frequent words and the trained network; only these two reach the driver. counts: the corpus's
+    :func:`word_counts`, if they are there already."""
     small_batches(docs.sparkSession)
-    frequent = [r.word for r in word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    counts = word_counts(docs, text_col) if counts is None else counts
+    frequent = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     sent = docs.sparkSession.sparkContext.broadcast
     network = Network.fresh()
     for round_ in range(ROUNDS):
@@ -213,9 +215,46 @@ def with_score(docs: DataFrame, model: tuple[list[str], Network], text_col: str
     return docs.withColumn("lm", score(F.col(text_col)))
 
 
+def within_kinds(docs: DataFrame, counts: DataFrame, frequent: list[str], text_col: str = "text") -> DataFrame:
+    """(th, within, copies) for each text that has words without a kind of their own: the hash of the text, and the sum of
+    log P(word | kind) over those words. Frequent words are alone in their kind and add nothing."""
+    small_batches(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(frequent[:FREQUENT]))
+
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ths, words, ns = [], [], []
+            for th, t in b.itertuples(index=False):
+                seen = Counter((t or "").split())
+                for w in known.value:
+                    seen.pop(w, None)
+                ths += [th] * len(seen)
+                words += seen
+                ns += seen.values()
+            yield pd.DataFrame({"th": pd.Series(ths, dtype="int64"), "word": pd.Series(words, dtype=object), "k": pd.Series(ns, dtype="int64")})
+
+    others = counts.filter(~F.col("word").isin(frequent[:FREQUENT]))
+    kind = F.crc32(F.substring("word", -2, 2)) % ENDINGS
+    total = {r.kind: r.n for r in others.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect()}
+    if not total:
+        return docs.sparkSession.createDataFrame([], "th long, within double, copies long")
+    sizes = F.create_map(*[F.lit(x) for kv in total.items() for x in kv])
+    dims = checkpoint(others.select("word", (F.log("n") - F.log(F.element_at(sizes, kind))).alias("p"), "n"))
+    texts = docs.select(F.xxhash64(text_col).alias("th"), text_col)
+    facts = texts.mapInPandas(rare, "th long, word string, k long")
+    met = hot_lookup(facts, dims, "word", "n", sum(total.values()))
+    copies = texts.groupBy("th").agg(F.count("*").alias("copies"))
+    sums = met.groupBy("th").agg(F.sum(F.col("k") * F.col("p")).alias("sum"))
+    return sums.join(copies, "th").select("th", (F.col("sum") / F.col("copies")).alias("within"), F.col("copies"))
+
+
 def op9(docs: DataFrame) -> DataFrame:
     """Score of all documents under a network trained on all of them: doc_id, n_tokens, log_prob and mean_log_prob
-    (null without words)."""
+    (null without words). log_prob is of the words themselves: that of their kinds, and of each word within its kind."""
     docs = docs.select("doc_id", "text")
-    out = with_score(docs, fit(docs)).select("doc_id", "lm.*")
-    return out.withColumn("mean_log_prob", F.col("log_prob") / F.nullif(F.col("n_tokens"), F.lit(0)))
+    counts = checkpoint(word_counts(docs, "text"))
+    model = fit(docs, counts=counts)
+    scored = with_score(docs, model).select("doc_id", F.xxhash64("text").alias("th"), "lm.*")
+    within = checkpoint(within_kinds(docs, counts, model[0]))
+    out = hot_lookup(scored, within, "th", "copies", docs.count()).withColumn("log_prob", F.col("log_prob") + F.coalesce("within", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", (F.col("log_prob") / F.nullif(F.col("n_tokens"), F.lit(0))).alias("mean_log_prob"))

@@ -45,3 +45,23 @@ def test_counts_and_odd_rows(spark, sf_dir):
     assert got == [(0, 3, False), (0, 3, False), (1, 0, True), (1, 0, True), (2, 100_000, False)]
     assert M.op9(docs.limit(0)).count() == 0
     assert {r.word: r.n for r in M.word_counts(docs, "text").collect()} == {"a": 4, "b": 2, "long": 100_000}
+
+
+def test_words_of_one_kind_score_by_their_counts(spark):
+    """Scores are of words, over the whole vocabulary: the network's kind and the word's share of that kind."""
+    common = " ".join(f"c{i} c{i} c{i} c{i} c{i} c{i} c{i}" for i in range(M.FREQUENT))
+    texts = [common, "c1 realing c2", "c1 zqxving c2", "realing realing realing c1 c1", "c1 realing c2", "", "other tion nation ration"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in M.op9(docs).collect()}
+    assert np.isclose(got[1].log_prob - got[2].log_prob, np.log(5))  # realing stands five times, zqxving once
+    assert got[1].log_prob == got[4].log_prob and got[5].log_prob == 0
+    counts = {}
+    for w in " ".join(texts).split():
+        counts[w] = counts.get(w, 0) + 1
+    frequent, network = M.fit(docs)
+    kinds, total = M.Kinds(frequent), {}
+    for w, n in counts.items():
+        total[kinds[w]] = total.get(kinds[w], 0) + n
+    plain = {r.doc_id: r.lm.log_prob for r in M.with_score(docs, (frequent, network)).collect()}
+    for d, t in enumerate(texts):
+        assert np.isclose(got[d].log_prob, plain[d] + sum(np.log(counts[w] / total[kinds[w]]) for w in t.split()), rtol=1e-4, atol=1e-4)
