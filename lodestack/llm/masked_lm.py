@@ -6,8 +6,8 @@ them through one hidden layer and predicts the token; a document's score is the
 log-probabilities. It is written and trained in numpy.
 
 Both the vocabulary and the weights come from all documents: word counts are summed over the whole corpus, and in each
-round every partition trains a copy of the weights on windows of every one of its documents; the copies are averaged,
-weighted by their windows. A round uses one window in STRIDE of each document, another set each round.
+round every partition trains a copy of the weights on its documents; the copies are averaged, weighted by their
+windows. A round uses one window in ROUNDS, another set each round, so every window of every document is used once.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ FREQUENT, ENDINGS = 95, 32
 CLASSES = FREQUENT + ENDINGS + 1
 EDGE = CLASSES - 1
 REACH, WIDTH, HIDDEN = 2, 8, 24
-STRIDE, ROUNDS = 8, 2
+ROUNDS = 2
 #: Windows of one gradient step, tokens scored at once, and words a worker remembers.
 BATCH, BLOCK, REMEMBERED = 1024, 32768, 400_000
 #: Words counted in a worker before the counts are handed on.
@@ -129,6 +129,11 @@ class Network:
                 w["embed"][:, k] -= np.bincount(flat, de[:, k], CLASSES)
 
 
+def picked(before: int, n: int, round_: int) -> np.ndarray:
+    """Which of n windows a round uses, after ``before`` windows of the same partition."""
+    return np.arange((round_ - before) % ROUNDS, n, ROUNDS)
+
+
 def counted(seen: Counter) -> pd.DataFrame:
     return pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": list(seen.values())})
 
@@ -168,7 +173,7 @@ def fit(docs: DataFrame, text_col: str = "text", rate: float = 1.0, counts: Data
                 texts = [kinds.tokens(t) for t in b.iloc[:, 0]]
                 target, context = windows(texts) if texts else (np.zeros(0, dtype=np.int64), None)
                 if len(target):
-                    pick = np.arange((round_ * STRIDE // ROUNDS - n) % STRIDE, len(target), STRIDE)
+                    pick = picked(n, len(target), round_)
                     n += len(target)
                     own.train(target[pick], context[pick], rate / (1 + round_))
                     used += len(pick)

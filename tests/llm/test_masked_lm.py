@@ -65,3 +65,14 @@ def test_words_of_one_kind_score_by_their_counts(spark):
     plain = {r.doc_id: r.lm.log_prob for r in M.with_score(docs, (frequent, network)).collect()}
     for d, t in enumerate(texts):
         assert np.isclose(got[d].log_prob, plain[d] + sum(np.log(counts[w] / total[kinds[w]]) for w in t.split()), rtol=1e-4, atol=1e-4)
+
+
+def test_every_window_is_trained_on_once():
+    sizes = [1, 3, 7, 0, 2, 1, 1000]
+    seen = np.zeros(sum(sizes), dtype=int)
+    for round_ in range(M.ROUNDS):
+        n = 0
+        for size in sizes:
+            seen[n + M.picked(n, size, round_)] += 1
+            n += size
+    assert (seen == 1).all()
