@@ -234,10 +234,19 @@ def score_paper(spark, d):
     return evidence.score_paper(ruled(spark, d)).select("question_id", "pmid", *evidence.score_sql("spark"))
 
 
+#: Papers of one block: candidates of a question come in blocks of ids, so a group does not grow with the table.
+SELECTED_FROM, DEDUPED_FROM = 250, 80
+
+
+def block(papers: int):
+    return F.floor(F.col("pmid") / papers).cast("long")
+
+
 @query
 def select_evidence(spark, d):
-    few = ruled(spark, d).where("pmid % 23 < 2").withColumn("rank", F.col("pmid"))
-    return evidence.select_evidence(few)
+    """Of all pairs, each question's within each block of papers; question_id is the block's number times 11 plus the question's."""
+    pairs = ruled(spark, d).withColumns({"question_id": block(SELECTED_FROM) * 11 + F.col("question_id"), "rank": F.col("pmid")})
+    return evidence.select_evidence(pairs)
 
 
 # --- dedup and context
@@ -256,7 +265,8 @@ def title_jaccard_pairs(spark, d):
 
 @query
 def greedy_dedup(spark, d):
-    p = view(spark, d, "papers").where("pmid % 7 = 0").withColumns({"question_id": F.col("pmid") % 5, "rank": F.col("pmid").cast("int"), "clinical": F.lit(True)})
+    """All papers; a block has no more of them than may be kept, so each one is compared."""
+    p = view(spark, d, "papers").withColumns({"question_id": block(DEDUPED_FROM), "rank": F.col("pmid").cast("int"), "clinical": F.lit(True)})
     return context.greedy_dedup(p, top_n=20).select("question_id", "pmid", "kept_rank")
 
 

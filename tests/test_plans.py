@@ -114,3 +114,17 @@ def test_stream_upserts(spark, tmp_path):
     rec((2, "new"), (3, "c")).write.parquet(f"{tmp_path}/in/x2")
     ingest(spark, source, f"{tmp_path}/table", f"{tmp_path}/check").awaitTermination(60)
     assert sorted((r.pmid, r.title) for r in spark.read.parquet(f"{tmp_path}/table/v=1").collect()) == [(1, "a"), (2, "new"), (3, "c")]
+
+
+def test_registered_walks_see_every_paper(spark, sf_dir, monkeypatch):
+    from lodestack import queries
+
+    seen = {}
+    for module, name in ((context, "greedy_dedup"), (evidence, "select_evidence")):
+        monkeypatch.setattr(module, name, lambda df, *a, _n=name, **k: seen.setdefault(_n, df).withColumn("kept_rank", F.lit(1)))
+        queries.QUERIES[name](spark, sf_dir)
+    papers = queries.view(spark, sf_dir, "papers").count()
+    for name, most in (("greedy_dedup", queries.DEDUPED_FROM), ("select_evidence", queries.SELECTED_FROM)):
+        assert seen[name].select("pmid").distinct().count() == papers
+        assert seen[name].groupBy("question_id").count().agg(F.max("count")).first()[0] <= most
+    assert seen["select_evidence"].count() == queries.ruled(spark, sf_dir).count()
