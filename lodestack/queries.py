@@ -422,16 +422,21 @@ def unique_ids(spark, d):
     return R.unique_ids(rows, "raw", "pos")
 
 
-@query
-def parse_xml(spark, d):
+def article_xml(spark, d) -> DataFrame:
+    """Every paper as one article element, its whole abstract included."""
     esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     xml = F.concat(
         F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("pmid").cast("string"), F.lit("</PMID><Article><ArticleTitle>"), esc(F.col("title")),
-        F.lit('</ArticleTitle><Abstract><AbstractText Label="AIM">'), esc(F.substring("abstract", 1, 200)), F.lit("</AbstractText><AbstractText>End.</AbstractText></Abstract><Journal><Title>"),
+        F.lit('</ArticleTitle><Abstract><AbstractText Label="AIM">'), esc(F.col("abstract")), F.lit("</AbstractText><AbstractText>End.</AbstractText></Abstract><Journal><Title>"),
         esc(F.col("journal")), F.lit("</Title><JournalIssue><PubDate><Year>"), F.coalesce(F.col("year").cast("string"), F.lit("n.d.")),
         F.lit("</Year></PubDate></JournalIssue></Journal><PublicationTypeList><PublicationType>"), esc(F.col("pubtypes")), F.lit("</PublicationType></PublicationTypeList></Article></MedlineCitation></PubmedArticle>"),
     )
-    return R.parse_articles(view(spark, d, "papers").select(xml.alias("xml")), "xml").select("pmid", "title", "journal", "year", "pubtypes", "retracted")
+    return view(spark, d, "papers").select(xml.alias("xml"))
+
+
+@query
+def parse_xml(spark, d):
+    return R.parse_articles(article_xml(spark, d), "xml").select("pmid", "title", "journal", "year", "pubtypes", "retracted")
 
 
 @query

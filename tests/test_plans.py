@@ -128,3 +128,14 @@ def test_registered_walks_see_every_paper(spark, sf_dir, monkeypatch):
         assert seen[name].select("pmid").distinct().count() == papers
         assert seen[name].groupBy("question_id").count().agg(F.max("count")).first()[0] <= most
     assert seen["select_evidence"].count() == queries.ruled(spark, sf_dir).count()
+
+
+def test_xml_carries_whole_abstracts(spark, sf_dir):
+    from lodestack import queries
+
+    got = {r.pmid: r.abstract for r in R.parse_articles(queries.article_xml(spark, sf_dir), "xml").collect()}
+    want = {r.pmid: r.abstract for r in queries.view(spark, sf_dir, "papers").collect()}
+    assert set(got) == set(want) and max(map(len, want.values())) > 1000
+    for k, a in want.items():
+        body = (a or "").strip(" ")
+        assert got[k] == (f"AIM: {body} End." if body else "End."), k
