@@ -120,6 +120,13 @@ def recall_at_k(spark, d):
     return dense.recall(dense.dense(asked(spark, d).select("question_id", "vector"), v.where("pmid % 5 <> 0"), 10), truth)
 
 
+@query
+def ivf_recall(spark, d):
+    """Recall of the approximate index against the exact search, over all vectors."""
+    v, q = view(spark, d, "vectors"), asked(spark, d).select("question_id", "vector")
+    return dense.recall(dense.ivf(q, v, 10), dense.dense(q, v, 10))
+
+
 @query
 def alignment_stats(spark, d):
     v = view(spark, d, "vectors")

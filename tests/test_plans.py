@@ -139,3 +139,15 @@ def test_xml_carries_whole_abstracts(spark, sf_dir):
     for k, a in want.items():
         body = (a or "").strip(" ")
         assert got[k] == (f"AIM: {body} End." if body else "End."), k
+
+
+def test_recall_of_the_index_is_registered(spark, sf_dir):
+    from lodestack import queries
+
+    v, q = queries.view(spark, sf_dir, "vectors"), queries.asked(spark, sf_dir).select("question_id", "vector")
+    exact = {(r.question_id, r.pmid) for r in dense.dense(q, v, 10).collect()}
+    found = {(r.question_id, r.pmid) for r in dense.ivf(q, v, 10).collect()}
+    asked = {i for i, _ in exact}
+    got = queries.QUERIES["ivf_recall"](spark, sf_dir).first()
+    share = [len({p for p in exact if p[0] == i} & found) / sum(p[0] == i for p in exact) for i in asked]
+    assert got.n_questions == len(asked) and abs(got.recall - sum(share) / len(share)) < 1e-5
