@@ -3,9 +3,10 @@
 The non-blank lines of a document are hashed; of every ``window`` neighbouring hashes the smallest (the rightmost, if
 there are several) is a fingerprint, so any run of ``window`` lines that two documents share has a fingerprint in
 common, in both at the same line of the run. The sequence is padded at both ends, so first and last lines always are
-fingerprints. Matching fingerprints are extended both ways: fewer than ``window`` lines lie between a run's outermost
+fingerprints. Lines of ``least_words`` or more are worth deleting alone, so each of them is a fingerprint too: for them
+the window is one line. Matching fingerprints are extended both ways: fewer than ``window`` lines lie between a run's outermost
 fingerprint and its end, so a fingerprint carries the hashes of that many lines on either side, and each extension
-by 0, 1, ... lines is a key of its own. The first place of each key, by document and line, is kept; the line that a
+by 0, 1, ... lines is a key of its own (but for those that reach a line with a key of its own). The first place of each key, by document and line, is kept; the line that a
 later place reaches is part of a later repeated run. Such a run is deleted if it has two lines or ``least_words``.
 """
 
@@ -24,7 +25,7 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def keyed_runs(docs: DataFrame, window: int) -> DataFrame:
+def keyed_runs(docs: DataFrame, window: int, least_words: int) -> DataFrame:
     """From (doc_id, doc_hash, text) one row for each fingerprint and extension: key, at (line of the fingerprint),
     line, row (number in the text) and words of the line it reaches. Lines are counted without the blank ones."""
     raw = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -36,10 +37,13 @@ def keyed_runs(docs: DataFrame, window: int) -> DataFrame:
         hs = F.col("hs")
         left = F.slice(hs, F.greatest(j + 1 - reach, F.lit(1)), F.least(j, F.lit(reach)))
         right = F.slice(hs, j + 2, F.lit(reach))
-        return F.struct(x["h"].alias("h"), j.alias("j"), left.alias("left"), right.alias("right"))
+        return F.struct(x["h"].alias("h"), j.alias("j"), (x["words"] >= least_words).alias("long"), left.alias("left"), right.alias("right"))
+
+    def short(j: Column) -> Column:
+        return F.get("seq", j)["words"] < least_words
 
     def chosen(x: Column) -> Column:
-        picked = F.lit(False)
+        picked = x["long"]
         for b in range(window):  # the window that has b lines before this one
             before = F.slice(x["left"], F.greatest(F.size(x["left"]) - b + 1, F.lit(1)), F.lit(b))
             after = F.slice(x["right"], 1, reach - b)
@@ -52,8 +56,8 @@ def keyed_runs(docs: DataFrame, window: int) -> DataFrame:
         for r in range(1, window):
             back = F.slice(x["left"], F.greatest(F.size(x["left"]) - r + 1, F.lit(1)), F.lit(r))
             made += [
-                F.when(F.size(x["left"]) >= r, F.struct(F.xxhash64(F.lit(-r), x["h"], back).alias("key"), x["j"].cast("int").alias("at"), (x["j"] - r).cast("int").alias("line"))),
-                F.when(F.size(x["right"]) >= r, F.struct(F.xxhash64(F.lit(r), x["h"], F.slice(x["right"], 1, r)).alias("key"), x["j"].cast("int").alias("at"), (x["j"] + r).cast("int").alias("line"))),
+                F.when((F.size(x["left"]) >= r) & short(x["j"] - r), F.struct(F.xxhash64(F.lit(-r), x["h"], back).alias("key"), x["j"].cast("int").alias("at"), (x["j"] - r).cast("int").alias("line"))),
+                F.when((F.size(x["right"]) >= r) & short(x["j"] + r), F.struct(F.xxhash64(F.lit(r), x["h"], F.slice(x["right"], 1, r)).alias("key"), x["j"].cast("int").alias("at"), (x["j"] + r).cast("int").alias("line"))),
             ]
         return F.filter(F.array(*made), lambda y: y.isNotNull())
 
@@ -66,7 +70,7 @@ def keyed_runs(docs: DataFrame, window: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, window: int, least_words: int) -> DataFrame:
     """One row a document that has later repeated runs: doc_id, doc_hash, rows (numbers of the lines to delete)."""
-    keyed = checkpoint(keyed_runs(docs, window))
+    keyed = checkpoint(keyed_runs(docs, window, least_words))
     place = F.struct("doc_id", "doc_hash", "at")
     first = keyed.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("_n")).filter("_n > 1")
     later = hot_lookup(keyed, checkpoint(first), "key", "_n", keyed.count()).filter(F.col("first").isNotNull())
@@ -84,6 +88,7 @@ def repeated_lines(docs: DataFrame, window: int, least_words: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, window: int = 2, least_words: int = 5) -> DataFrame:
     """docs with the later repeated runs of lines cut out of text, plus n_lines and n_deleted (int).
 
+    Every later line of ``least_words`` words or more goes, and every later run of ``window`` lines or more.
     Lines compare without white space at their ends; blank lines never match and stay. The first place of a run is
     the one of the smallest doc_id (null first), then text hash and line; rows of one id and text count as one
     document and stay alike. A document may lose all its lines: its text is then empty. Null text stays null and
@@ -124,7 +129,7 @@ WITH raw AS (
 ), ctx AS (
   SELECT *, lag(h) OVER w AS p, lead(h) OVER w AS n FROM seq WINDOW w AS (PARTITION BY doc_id, dh ORDER BY j)
 ), fp AS (
-  SELECT * FROM ctx WHERE n IS NULL OR n > h OR p IS NULL OR p >= h
+  SELECT * FROM ctx WHERE words >= 5 OR n IS NULL OR n > h OR p IS NULL OR p >= h
 ), keyed AS (
   SELECT doc_id, dh, j AS spot, j AS line, 'o' || h AS key FROM fp
   UNION ALL SELECT doc_id, dh, j, j - 1, 'p' || p || ',' || h FROM fp WHERE p IS NOT NULL

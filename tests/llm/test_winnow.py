@@ -38,3 +38,25 @@ def test_guarantee_for_wider_windows(spark):
         for d in range(40):
             assert [x for x in got[d] if x.startswith("own")] == [f"own {d} {i} words here too" for i in range(12)]
             assert d == 0 or not set(run) & set(got[d]), (w, d)
+
+
+def test_single_long_lines_go_wherever_they_stand(spark, sf_dir):
+    """No line of five words or more that stood before is left, in made documents and in the whole table."""
+    rng = random.Random(4)
+    line = "a passage " + " ".join(f"word{i}" for i in range(60))
+    made = [(d, "\n".join([f"own {d} {i} {rng.random()} of this text" for i in range(9)])) for d in range(60)]
+    made = [(d, t.replace("\n", f"\n{line}\n", 1 + d % 5)) for d, t in made]
+    for df in (spark.createDataFrame(made, "doc_id long, text string"), spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        rows = sorted({(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()})
+        got = {r.doc_id: r.text for r in winnow.dedup_lines(df).collect()}
+        seen, lost = set(), 0
+        for d, t in rows:
+            for raw in (t or "").split("\n"):
+                x = raw.strip(winnow.BLANKS)
+                if len(x.replace("\t", " ").split(" ")) < 5:
+                    continue
+                lost += x in seen
+                seen.add(x)
+        left = [x for d, _ in rows for raw in (got[d] or "").split("\n") for x in [raw.strip(winnow.BLANKS)] if len(x.split()) >= 5]
+        assert len(left) == len(set(left)) and lost > 0
+        assert set(left) == {x for x in seen if len(x.split()) >= 5}
