@@ -3,33 +3,45 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as hot from this share of all rows on; so there can be at most HOT_KEYS hot keys.
 HOT_KEYS = 500
 #: Keys with fewer rows than this never need special care.
 HOT_LEAST = 200
+#: Counted links that one task joins into components by itself, and nodes that a task remembers otherwise.
+ONE_TASK, REMEMBERED = 200_000, 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which every executor can reach.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a temporary folder is
-    chosen, once for each session.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and driver and executors are one process
+    (tests, a laptop) a temporary folder is chosen, once for each session; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or "file://" + os.path.join(tempfile.mkdtemp(prefix="lodestack-"), "checkpoints")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "file://" + os.path.join(tempfile.mkdtemp(prefix="lodestack-"), "checkpoints"))
     return sc.getCheckpointDir()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as a table into the shared folder and read it from there.
 
@@ -56,19 +68,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def hot_lookup(facts: DataFrame, dims: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def hot_lookup(facts: DataFrame, dims: DataFrame, key: str, weight: str, total: int, small: Column | None = None) -> DataFrame:
     """Left join of facts with dims (one row a key; ``weight``: how many rows facts has of it), safe under skew.
 
     Keys with more than total / HOT_KEYS rows are at most HOT_KEYS, so their dims rows are broadcast; a fact row
     that found its key there is spread at random over the shuffle, which only the other keys need. The null key
-    finds nothing. ``dims`` is read twice: pass a checkpointed or cheap frame.
+    finds nothing. ``dims`` is read twice: pass a checkpointed or cheap frame. small: a condition on dims rows of which
+    500 may be broadcast; needed where their size has no bound.
     """
     limit = max(HOT_LEAST, total // HOT_KEYS)
+    is_hot = (F.col(weight) > limit) & (F.lit(True) if small is None else small)
     values = [c for c in dims.columns if c not in (key, weight)]
-    hot = dims.filter((F.col(weight) > limit) & F.col(key).isNotNull()).select(
+    hot = dims.filter(is_hot & F.col(key).isNotNull()).select(
         F.col(key), F.struct(*values).alias("_hot")
     )
-    cold = dims.filter((F.col(weight) <= limit) & F.col(key).isNotNull()).select(
+    cold = dims.filter(~is_hot & F.col(key).isNotNull()).select(
         F.col(key).alias("_key"), F.lit(0).alias("_spread"), F.struct(*values).alias("_cold")
     )
     met = facts.join(F.broadcast(hot), key, "left")
@@ -79,10 +93,48 @@ def hot_lookup(facts: DataFrame, dims: DataFrame, key: str, weight: str, total:
     return out.select(*facts.columns, *(found[c].alias(c) for c in values))
 
 
+class Sets(dict):
+    """Disjoint sets of numbers by their parents; a set's root is its smallest number."""
+
+    def root(self, x: int) -> int:
+        top = x
+        while (up := self.setdefault(top, top)) != top:
+            top = up
+        while self[x] != top:
+            self[x], x = top, self[x]
+        return top
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart before."""
+        a, b = self.root(a), self.root(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) of one partition without those that others already imply."""
+    sets = Sets()
+    for batch in batches:
+        if len(sets) > REMEMBERED:
+            sets.clear()
+        yield batch[[sets.join(a, b) for a, b in zip(batch.a.tolist(), batch.b.tolist(), strict=True)]]
+
+
+def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, root) of all links of the one partition."""
+    sets = Sets()
+    for batch in batches:
+        for a, b in zip(batch.a.tolist(), batch.b.tolist(), strict=True):
+            sets.join(a, b)
+    nodes = list(sets)
+    yield pd.DataFrame({"node": nodes, "root": [sets.root(x) for x in nodes]}, dtype="int64")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of the links (a, b), both long: one row (node, root) a node; root is the smallest node.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014), so the rounds grow with the logarithm of the
+    Up to ONE_TASK counted links are joined by one task. More are first thinned out within each partition, then joined by
+    alternating large-star and small-star rounds (Kiveris et al. 2014), so the rounds grow with the logarithm of the
     largest component. Each round's edges are checkpointed. A star's centre may be hot; see :func:`hot_lookup`.
     """
     def both(e: DataFrame) -> DataFrame:
@@ -106,7 +158,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    was = state(e)
+    if e.count() <= ONE_TASK:
+        out = checkpoint(e.coalesce(1).mapInPandas(joined, "node long, root long"))
+        drop(e)
+        return out
+    thin = checkpoint(e.mapInPandas(forest, "a long, b long"))
+    drop(e)
+    e, was = thin, state(thin)
     for _ in range(most_rounds):
         if not was[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

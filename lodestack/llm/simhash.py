@@ -11,23 +11,23 @@ differ there, one half where exactly one may), so a segment that very many texts
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import checkpoint, components, drop, hot_lookup, small_batches
+from lodestack.llm.common import checkpoint, components, drop, hot_lookup, small_batches, unused
 
 #: Shingles whose bits are held at once.
 CHUNK = 1 << 15
 #: MinHash bands of a text and minima in each. Texts of similarity s share no band with probability
-#: (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8.
-BANDS, ROWS = 24, 4
+#: (1 - s ** ROWS) ** BANDS: 2e-4 at 0.8, 7e-6 at 0.85.
+BANDS, ROWS = 16, 4
 #: Bands used in the rounds in which a band's texts meet only one of them, before the rest meet each other.
-LEADING = (4, BANDS)
+LEADING = (3, BANDS)
+#: Shingles of a text that may be broadcast with 500 like it.
+WIDE = 20_000
 FACTORS = np.random.default_rng(0).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 #: Marks keys of whole segments: above the 54 bits of the keys of one-wildcard variants.
 WHOLE = 1 << 10
@@ -153,24 +153,6 @@ def mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_prints(text: str | None, prints: int, most: int) -> list[int]:
-    """``prints`` independent SimHashes of the words of a text, each word counted up to ``most`` times."""
-    counts = Counter((text or "").encode().lower().split())
-    if not counts:
-        return [0] * prints
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in counts), dtype="<u8", count=len(counts))
-    times = np.minimum(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), most)
-    out = []
-    for seed in range(prints):
-        ones = np.zeros(64, dtype=np.int64)
-        own = mixed(h, seed)
-        for at in range(0, len(own), CHUNK):
-            bits = np.unpackbits(own[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += times[at : at + CHUNK] @ bits
-        out.append(int(np.packbits((2 * ones > times.sum()).astype(np.uint8), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One 64-bit key for each MinHash band of the shingle hashes."""
     hashes = hashes if len(hashes) else np.zeros(1, dtype=np.uint64)
@@ -182,43 +164,49 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more. sets: th, hashes."""
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more. sets: node, hashes."""
     pairs = checkpoint(pairs.select("a", "b").distinct())
     times = pairs.groupBy("b").agg(F.count("*").alias("_n"))
-    dims = checkpoint(sets.select(F.col("th").alias("b"), F.col("hashes").alias("hb")).join(times, "b"))
-    met = hot_lookup(pairs, dims, "b", "_n", pairs.count()).join(sets.select(F.col("th").alias("a"), F.col("hashes").alias("ha")), "a")
+    dims = checkpoint(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")).join(times, "b"))
+    met = hot_lookup(pairs, dims, "b", "_n", pairs.count(), F.size("hb") <= WIDE)
+    met = met.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+    lengths = F.least(F.size("ha"), F.size("hb")) >= least * F.greatest(F.size("ha"), F.size("hb")) - 1e-9
     both = F.size(F.array_intersect("ha", "hb"))
-    out = checkpoint(met.filter(both * (1 + least) >= least * (F.size("ha") + F.size("hb")) - 1e-9).select("a", "b"))
+    out = checkpoint(met.filter(lengths & (both * (1 + least) >= least * (F.size("ha") + F.size("hb")) - 1e-9)).select("a", "b"))
     drop(pairs, dims)
     return out
 
 
 def band_links(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between texts of similarity ``least`` or more that share a band. bands: band, key, th.
+    """Links (a, b) between texts of similarity ``least`` or more that share a band. bands: band, key, node.
 
     In each of the LEADING rounds a band's texts are compared with one of them, another one each round, unless they
     are connected by then. In what is left, every two texts of a band that are not connected are compared. So any two
     texts that share a band are compared or connected by verified links.
     """
-    def rest(root: DataFrame | None) -> DataFrame:
-        """Rows of the bands that hold several components, with the component."""
-        named = bands.withColumn("root", F.col("th")) if root is None else bands.join(root.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-        named = checkpoint(named)
-        mixed_keys = checkpoint(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("_n")).filter("low <> high").select("key", "_n", F.lit(True).alias("open")))
-        return checkpoint(hot_lookup(named, mixed_keys, "key", "_n", named.count()).filter("open").drop("open"))
+    def rest(root: DataFrame | None, used: int) -> DataFrame:
+        """Rows of the first ``used`` bands of each text that hold several components, with the component."""
+        some = bands.filter(F.col("band") < used)
+        if root is None:
+            return some.withColumn("root", F.col("node"))
+        named = checkpoint(some.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("_n"))
+        several = checkpoint(several.filter("low <> high").select("key", "_n", F.lit(True).alias("open")))
+        out = checkpoint(hot_lookup(named, several, "key", "_n", named.count()).filter("open").drop("open"))
+        drop(named, several)
+        return out
 
     found, root = None, None
     for nth, used in enumerate(LEADING):
-        open_ = rest(root)
-        some = open_.filter(F.col("band") < used)
-        lead = checkpoint(some.groupBy("key").agg(F.min(F.struct(F.xxhash64("th", "key", F.lit(nth)).alias("h"), "th", "root")).alias("lead"), F.count("*").alias("_n")))
-        met = hot_lookup(some, lead, "key", "_n", some.count()).filter("root <> lead.root")
-        good = alike(met.select(F.col("th").alias("a"), F.col("lead.th").alias("b")), sets, least)
+        open_ = rest(root, used)
+        lead = checkpoint(open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(nth)).alias("h"), "node", "root")).alias("lead"), F.count("*").alias("_n")))
+        met = hot_lookup(open_, lead, "key", "_n", open_.count()).filter("root <> lead.root")
+        good = alike(met.select(F.col("node").alias("a"), F.col("lead.node").alias("b")), sets, least)
         found = good if found is None else found.unionByName(good)
-        root = checkpoint(components(found))
-        drop(open_, lead)
-    open_ = rest(root)
-    side = lambda k: open_.select("key", F.col("th").alias(k), F.col("root").alias(f"root_{k}"))
+        root = components(found)
+        drop(lead)
+    open_ = rest(root, BANDS)
+    side = lambda k: open_.select("key", F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
     pairs = side("a").join(side("b"), "key").filter("root_a < root_b")
     return found.unionByName(alike(pairs, sets, least))
 
@@ -226,13 +214,14 @@ def band_links(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each near-duplicate group.
 
-    Candidates are texts that share a band of MinHashes over their ``words``-word shingles; they are linked if the exact
+    Candidates are texts that share a band of MinHashes over their ``words``-word shingles; they are linked if the
     Jaccard similarity of the shingle sets is ``least`` or more (see :func:`band_links`). Groups are connected
     components. The document of the smallest id stays, and of several rows of that id the one of the smallest text hash;
     identical rows become one. Rows with a null id stay only if their group has no other. Null, empty and wordless texts
-    are copies of each other.
+    are copies of each other. Texts count as equal if their MD5 is. Other columns pass through.
     """
     small_batches(docs.sparkSession)
+    md5, nth = unused(docs, "_text"), unused(docs, "_nth")
 
     @F.pandas_udf("array<long>")
     def banded(texts: pd.Series) -> pd.Series:
@@ -242,26 +231,27 @@ def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
     def distinct_shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(h).view(np.int64) if len(h) else np.zeros(1, dtype=np.int64) for h in (shingles(t, words) for t in texts)])
 
-    first = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"))
-    made = docs.select(first.alias("first"), F.xxhash64(F.col(text_col)).alias("th"), banded(F.col(text_col)).alias("bands"))
-    made = checkpoint(made)
-    texts = checkpoint(made.groupBy("th").agg(F.min("first").alias("first"), F.min("bands").alias("bands")))
+    own = docs.withColumn(md5, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    made = checkpoint(own.select(F.col(id_col).alias("id"), F.col(md5).alias("md5"), banded(F.col(text_col)).alias("bands")))
+    texts = made.groupBy("md5").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    texts = checkpoint(texts.withColumn("node", F.monotonically_increasing_id()))
     drop(made)
-    own = docs.withColumn("_text", F.xxhash64(F.col(text_col)))
 
     def rows_of(keys: DataFrame) -> DataFrame:
-        """The rows of docs that have the ids and texts of keys (_id, _th)."""
-        return own.join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi")
+        """The rows of docs that have the ids and texts of keys (_id, _md5, ...), with the other columns of keys."""
+        met = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(md5) == F.col("_md5"))
+        return own.join(keys, met, "left_semi" if len(keys.columns) == 2 else "inner")
 
-    each = texts.select("th", F.posexplode("bands").alias("band", "key"))
+    each = texts.select("node", F.posexplode("bands").alias("band", "key"))
     shared = checkpoint(each.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("shared", F.lit(True)))
     bands = checkpoint(hot_lookup(each, shared, "key", "_n", texts.count() * BANDS).filter("shared").drop("shared"))
-    needed = texts.join(bands.select("th").distinct(), "th", "left_semi").select(F.col("first.id").alias("_id"), F.col("th").alias("_th"))
-    sets = rows_of(needed).dropDuplicates(["_text"]).select(F.col("_text").alias("th"), distinct_shingles(F.col(text_col)).alias("hashes"))
-    found = components(band_links(bands, checkpoint(sets), least)).withColumnRenamed("node", "th")
-    rooted = texts.select("th", "first").join(found, "th", "left")
-    best = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct("first", "th")).alias("k")).select("k")
-    keep = rooted.filter("root is null").select(F.struct("first", "th").alias("k")).unionByName(best)
-    stay = rows_of(keep.select(F.col("k.first.id").alias("_id"), F.col("k.th").alias("_th")))
-    nth = Window.partitionBy(id_col, "_text").orderBy(F.lit(1))
-    return stay.withColumn("_nth", F.row_number().over(nth)).filter("_nth = 1").select(*docs.columns)
+    needed = texts.join(bands.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("_id"), F.col("md5").alias("_md5"), F.col("node").alias("_node"))
+    sets = rows_of(needed).select("_node", F.col(text_col).alias("text")).dropDuplicates(["_node"])
+    sets = checkpoint(sets.select(F.col("_node").alias("node"), distinct_shingles("text").alias("hashes")))
+    found = components(band_links(bands, sets, least))
+    rooted = texts.select("node", F.struct(F.col("id").isNull().alias("none"), "id", "md5").alias("k")).join(found, "node", "left")
+    best = rooted.filter("root is not null").groupBy("root").agg(F.min("k").alias("k")).select("k")
+    keep = checkpoint(rooted.filter("root is null").select("k").unionByName(best).select(F.col("k.id").alias("_id"), F.col("k.md5").alias("_md5")))
+    drop(shared, bands, sets)
+    first = F.row_number().over(Window.partitionBy(id_col, md5).orderBy(F.lit(1)))
+    return rows_of(keep).withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)

@@ -4,9 +4,9 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
-from lodestack.llm import decontam, mixing, quality, simhash, winnow
+from lodestack.llm import decontam, mixing, quality, winnow
 from test_decontam import edits_anywhere
-from test_simhash import brute_components, brute_print
+from test_simhash import brute_components
 
 
 @pytest.fixture(scope="module")
@@ -43,26 +43,46 @@ def test_lines(stages, oracle):
     assert all(len(r.text) == want[r.doc_id]["n_chars"] for r in after)
 
 
-def test_near_duplicates(stages):
-    """Against a plain walk over the same variants, and against shingle similarity itself."""
-    before, after = stages["near_duplicates"]
+def resolved(before, after):
+    """Against a walk over all pairs of texts: pairs of different texts of similarity 0.8 or more, and how many of them are
+    in one group of the stage; ids that the stage removed without such a chain of pairs, and copies that it left."""
     texts = {}
     for r in before:
-        texts[r.text] = min(r.doc_id, texts.get(r.text, r.doc_id))
-    fp = {t: brute_print(t, 5) for t in texts}
-    prints = {t: [p & (2**64 - 1) for p in simhash.word_prints(t, 4, 3)] for t in texts}
-    pool = sorted(texts)
-    linked = [(a, b) for i, a in enumerate(pool) for b in pool[:i] if (fp[a] ^ fp[b]).bit_count() <= 14 and any((x ^ y).bit_count() <= 2 for x, y in zip(prints[a], prints[b]))]
-    root = brute_components(pool, linked)
-    groups = {}
-    for t, r in root.items():
-        groups[r] = min(texts[t], groups.get(r, texts[t]))
-    assert sorted(r.doc_id for r in after) == sorted(groups.values())
-    kept = {r.doc_id: r.text for r in after}
-    grams = {t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for t in texts for w in [t.lower().split()]}
-    alike = [(a, b) for i, a in enumerate(pool) for b in pool[:i] if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
-    missed = sum(texts[a] in kept and texts[b] in kept for a, b in alike)
-    assert missed <= 0.1 * len(alike)
+        texts.setdefault(r.text or "", []).append(r.doc_id)
+    pool = sorted(texts, key=lambda t: min(texts[t]))
+    grams, by = [], {}
+    for i, t in enumerate(pool):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).split()
+        grams.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))})
+        for g in grams[-1]:
+            by.setdefault(g, []).append(i)
+    common = {}
+    for ids in by.values():
+        for x, i in enumerate(ids):
+            for j in ids[:x]:
+                common[j, i] = common.get((j, i), 0) + 1
+    alike = [(i, j) for (i, j), n in common.items() if n >= 0.8 * (len(grams[i]) + len(grams[j]) - n)]
+    root = brute_components(range(len(pool)), alike)
+    kept = {r.doc_id for r in after}
+    best = {}
+    for i, r in root.items():
+        best[r] = min(best.get(r, 10**18), *texts[pool[i]])
+    held = {i: any(d in kept for d in texts[t]) for i, t in enumerate(pool)}
+    missed = [(i, j) for i, j in alike if held[i] and held[j]]
+    return alike, missed, set(best.values()) - kept, kept - set(best.values())
+
+
+def test_near_duplicates(stages):
+    """Only pairs of different texts count: none is missed, nothing else goes."""
+    before, after = stages["near_duplicates"]
+    alike, missed, gone, left = resolved(before, after)
+    assert not missed and not gone and not left
+
+
+def test_near_duplicates_of_a_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    alike, missed, gone, left = resolved(docs.collect(), P.near_duplicate_stage(spark, docs, "").collect())
+    assert alike and not missed and not gone and not left
 
 
 def test_decontamination(spark, sf_dir, stages):

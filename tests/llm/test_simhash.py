@@ -62,6 +62,17 @@ def test_components_of_a_chain_and_a_star(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_beyond_one_task(spark, monkeypatch):
+    """The same components when links are too many for one task and its memory."""
+    monkeypatch.setattr(common, "ONE_TASK", 10)
+    monkeypatch.setattr(common, "REMEMBERED", 20)
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(150)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)] * 2
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    want = brute_components({x for e in edges if e[0] != e[1] for x in e}, edges)
+    assert got == want
+
+
 def test_whole_table_against_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     fp = {r.doc_id: brute_print(r.text) for r in rows}
@@ -100,9 +111,9 @@ def test_representatives_of_copies_and_near_copies(spark):
             rows.append((ids[-1], " ".join(own)))
         groups.append(ids)
     rows += [(2000, rows[0][1]), (2000, rows[0][1]), (None, rows[0][1]), (None, "lone words here"), (None, "lone words here"), (3000, None), (3001, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", simhash.F.lit("x")).withColumn("th", simhash.F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_text", simhash.F.lit("x")).withColumn("node", simhash.F.lit(1))
     got = simhash.representatives(df)
-    assert got.columns == ["doc_id", "text", "fp", "th"]
+    assert got.columns == ["doc_id", "text", "_text", "node"] and got.filter("_text <> 'x'").count() == 0
     ids = [r.doc_id for r in got.collect()]
     need = [min(g) for g in groups] + [None, 3000]
     assert set(need) <= set(ids) and ids.count(None) == 1 and len(ids) == len(set(ids))
