@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.config import DEFAULT, Settings
 from lodestack.functions import rules, scoring
 from lodestack.functions import text as T
 from lodestack.functions.udfs import ratio
+from lodestack.storage import written
 
 
-def features(questions: DataFrame) -> DataFrame:
+def features(questions: DataFrame, keywords: Callable[[Column], Column] | None = None) -> DataFrame:
     """Everything that the filters and scores need of (question_id, question)."""
-    focus = T.focus_terms("question")
+    focus = T.focus_terms("question") if keywords is None else keywords(F.col("question"))
     q = questions.withColumns({"terms": T.query_terms("question"), "focus": focus, "phrases": T.required_phrases("question", focus), "entities": T.entity_groups("question", focus), "concepts": T.concept_groups("question"), "anchors": T.anchor_terms("question")})
     return q.withColumn("q", F.lower(T.text_or_empty("question"))).withColumn("clinical", F.expr(rules.CLINICAL_Q)).drop("q")
 
@@ -58,22 +61,36 @@ def junk(title: str = "title", abstract: str = "abstract"):
 
 
 def exact_title_dedup(df: DataFrame, order: str = "rank") -> DataFrame:
-    """The first paper of each question and normal title; junk goes."""
-    nth = Window.partitionBy("question_id", T.norm_title("title")).orderBy(order)
-    return df.where(~junk()).withColumn("_n", F.row_number().over(nth)).filter("_n = 1").drop("_n")
+    """The first paper of each question and normal title; junk goes. A title's papers are merged before the shuffle."""
+    own = F.struct(*df.columns)
+    first = df.where(~junk()).groupBy("question_id", T.norm_title("title").alias("_norm")).agg(F.min_by(own, order).alias("x"))
+    return first.select("x.*")
+
+
+def title_classes(df: DataFrame, id_col: str = "pmid", title_col: str = "title") -> DataFrame:
+    """(id, representative): papers of one set of title tokens, represented by the smallest id; those without tokens have
+    none."""
+    sets = df.select(F.col(id_col).alias("id"), F.array_sort(T.title_tokens(title_col)).alias("tokens")).filter(F.size("tokens") > 0)
+    heads = sets.groupBy("tokens").agg(F.min("id").alias("representative"), F.count("*").alias("n"))
+    hot = heads.filter("n > 1000")  # few: each has over a thousand papers
+    met = sets.join(F.broadcast(hot.select("tokens", F.col("representative").alias("h"))) if hot.limit(1001).count() <= 1000 else hot.select("tokens", F.col("representative").alias("h")), "tokens", "left")
+    cold = met.filter("h is null").drop("h").join(heads.filter("n <= 1000").select("tokens", "representative"), "tokens").select("id", "representative")
+    return met.filter("h is not null").select("id", F.col("h").alias("representative")).unionByName(cold)
 
 
 def title_jaccard_pairs(df: DataFrame, least: float, id_col: str = "pmid", title_col: str = "title") -> DataFrame:
-    """Pairs of papers whose distinct title tokens have a Jaccard similarity of ``least`` or more: a, b, jaccard.
+    """Pairs of different sets of title tokens with a Jaccard similarity of ``least`` or more, by the smallest id of each:
+    a, b, jaccard. Papers of one set count once here; :func:`title_classes` has them.
 
     Prefix filter: with the tokens of each title in order of rarity, similar titles share one of the first
     n - ceil(least n) + 1; only pairs that meet there are compared, each once.
     """
-    sets = df.select(F.col(id_col).alias("id"), T.title_tokens(title_col).alias("tokens")).filter(F.size("tokens") > 0)
+    all_sets = df.select(F.col(id_col).alias("id"), F.array_sort(T.title_tokens(title_col)).alias("tokens")).filter(F.size("tokens") > 0)
+    sets = written(all_sets.groupBy("tokens").agg(F.min("id").alias("id")), "titles")
     df_of = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     rare = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df_of, "token")
     nth = Window.partitionBy("id").orderBy("df", "token")
-    prefix = rare.withColumn("at", F.row_number().over(nth)).filter(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    prefix = written(rare.withColumn("at", F.row_number().over(nth)).filter(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1), "prefixes")
     side = lambda k: prefix.select("token", F.col("id").alias(k), F.col("n").alias(f"n_{k}"))
     met = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
     own = lambda k: sets.select(F.col("id").alias(k), F.col("tokens").alias(f"t_{k}"))

@@ -99,10 +99,58 @@ def normalize_judgement(replies: DataFrame, text: str = "reply") -> DataFrame:
     """Adds relevance (0..3), evidence_type, answers_question, population_or_model and reason from a reply's JSON."""
     j = F.from_json(extract_json(text), "relevance string, evidence_type string, answers_question boolean, population_or_model string, reason string")
     out = replies.withColumn("_j", j)
-    rel = F.greatest(F.lit(0), F.least(F.lit(3), F.try_to_number(F.col("_j.relevance"), F.lit("S999")).cast("int")))
+    number = F.trim("_j.relevance").try_cast("double")
+    rel = F.greatest(F.lit(0), F.least(F.lit(3), number.cast("int")))  # towards zero
     kind = F.regexp_replace(F.lower(F.trim(F.coalesce("_j.evidence_type", F.lit("other")))), " ", "_")
     for name, other in L.EVIDENCE_ALIASES.items():
         kind = F.when(kind == name, other).otherwise(kind)
-    out = out.withColumn("relevance", F.when(F.col("_j.relevance").rlike(r"^\s*[+-]?\d{1,3}\s*$"), rel)).withColumn("evidence_type", F.when(kind.isin(L.EVIDENCE_TYPES), kind).otherwise("other"))
+    out = out.withColumn("relevance", F.when(number.isNotNull() & ~F.isnan(number), rel)).withColumn("evidence_type", F.when(kind.isin(L.EVIDENCE_TYPES), kind).otherwise("other"))
     answers = F.when(F.col("relevance") < 3, False).when(F.col("relevance") == 3, F.coalesce("_j.answers_question", F.lit(True))).otherwise(F.coalesce("_j.answers_question", F.lit(False)))
     return out.withColumns({"answers_question": answers, "population_or_model": text_or_empty("_j.population_or_model"), "reason": text_or_empty("_j.reason")}).drop("_j")
+
+
+def judge_deltas(old: DataFrame, new: DataFrame, top: int) -> DataFrame:
+    """The papers of each question that both runs judged differently, the largest change first: question_id, pmid,
+    old_relevance, new_relevance, delta, nth. Runs: question_id, pmid, relevance."""
+    side = lambda df, k: df.select("question_id", "pmid", F.col("relevance").cast("double").alias(f"{k}_relevance"))
+    met = side(old, "old").join(side(new, "new"), ["question_id", "pmid"]).withColumn("delta", F.col("new_relevance") - F.col("old_relevance")).filter("delta <> 0")
+    order = Window.partitionBy("question_id").orderBy(F.desc(F.abs("delta")), F.desc("delta"), F.desc("pmid"))
+    return met.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top)
+
+
+def flagged(run: DataFrame, low_citations: int = 10, low_score: float = 0.35) -> DataFrame:
+    """The papers of each question that are little cited or of low impact, the lowest impact first: run's columns, nth."""
+    low = (F.coalesce("citation_count", F.lit(0)) < low_citations) | (F.col("impact") < low_score)
+    order = Window.partitionBy("question_id").orderBy("impact", "pos")
+    return run.where(low).withColumn("nth", F.row_number().over(order))
+
+
+def run_means(runs: DataFrame, columns: list[str], side: str = "side") -> DataFrame:
+    """Old and new mean of numeric columns, nulls left out, and their difference: metric, old_mean, new_mean, delta."""
+    mean = lambda c, k: F.avg(F.when(F.col(side) == k, F.col(c)))
+    one = runs.agg(*[F.array(mean(c, "old"), mean(c, "new")).alias(c) for c in columns]).unpivot([], columns, "metric", "m")
+    old, new = F.col("m")[0], F.col("m")[1]
+    return one.select("metric", F.round(old, 6).alias("old_mean"), F.round(new, 6).alias("new_mean"), F.round(new - old, 6).alias("delta"))
+
+
+def cited_sets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Of each question that both runs answered: what the answers cite (question_id, old_cited, new_cited, in_both,
+    in_either, added, removed), as sorted ids."""
+    side = lambda df, k: df.select("question_id", C.cited_ids("answer").alias(f"{k}_cited"))
+    met = side(old, "old").join(side(new, "new"), "question_id")
+    o, n = F.col("old_cited"), F.col("new_cited")
+    ids = {"in_both": F.array_intersect(o, n), "in_either": F.array_union(o, n), "added": F.array_except(n, o), "removed": F.array_except(o, n)}
+    return met.withColumns({k: F.array_sort(v) for k, v in ids.items()})
+
+
+def run_presence(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Every question of either run and whose it is: question_id, side (both, old, new)."""
+    ids = lambda df, k: df.select("question_id").distinct().withColumn(k, F.lit(True))
+    met = ids(old, "o").join(ids(new, "n"), "question_id", "full")
+    return met.select("question_id", F.when(F.col("n").isNull(), "old").when(F.col("o").isNull(), "new").otherwise("both").alias("side"))
+
+
+def cited_papers(answers: DataFrame, papers: DataFrame) -> DataFrame:
+    """The papers (question_id, pmid, pos) that their question's answer cites, in their order."""
+    cited = answers.select("question_id", F.explode(C.cited_ids("answer")).alias("pmid"))
+    return papers.join(cited, ["question_id", "pmid"], "left_semi")

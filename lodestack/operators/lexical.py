@@ -1,11 +1,14 @@
-"""Inverted index and BM25 over many questions at once."""
+"""Postings, statistics and the BM25 weight; :mod:`lodestack.operators.index` stores and searches them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.config import DEFAULT, Settings
+from lodestack.functions import lexicon as L
 from lodestack.functions import text as T
 
 #: Rows up to which the questions' terms are broadcast; beyond it the join shuffles on the term.
@@ -38,43 +41,16 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def weigh(matched: DataFrame, index: DataFrame, stats: DataFrame, s: Settings) -> DataFrame:
-    """The BM25 weight ``w`` of each (question_id, term, pmid, tf)."""
-    wanted = small(matched.select("term").distinct())
-    hits = index.join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
-    size = stats.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    met = matched.join(index, "term").join(hits, "term").join(stats, "id").crossJoin(F.broadcast(size))  # one row
+def weighed(met: DataFrame, s: Settings) -> DataFrame:
+    """Adds the BM25 weight ``w`` to rows with tf, df, length, n and avg_length; id becomes pmid."""
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("length") / F.col("avg_length"))
     return met.withColumn("w", idf * F.col("tf") * (s.bm25_k1 + 1) / norm).withColumnRenamed("id", "pmid")
 
 
-def bm25(terms: DataFrame, index: DataFrame, stats: DataFrame, k: int, s: Settings = DEFAULT) -> DataFrame:
-    """Top k papers of each question by BM25 over any of its terms: question_id, pmid, score, pos.
-
-    terms: (question_id, term); index: :func:`postings`; stats: :func:`doc_stats`. Repeated terms count once. Scores
-    are rounded to six digits; ties go to the smaller pmid.
-    """
-    scored = weigh(small(terms.distinct()), index, stats, s).groupBy("question_id", "pmid").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k)
-
-
-def bm25_strict(groups: DataFrame, index: DataFrame, stats: DataFrame, k: int, s: Settings = DEFAULT) -> DataFrame:
-    """As :func:`bm25`, but a paper needs a term of every group of its question.
-
-    groups: (question_id, group_no, term); questions with fewer than two groups give nothing.
-    """
-    need = groups.groupBy("question_id").agg(F.count_distinct("group_no").alias("need")).filter("need >= 2")
-    asked = groups.distinct().join(F.broadcast(need), "question_id")
-    met = weigh(small(asked), index, stats, s).groupBy("question_id", "pmid", "need").agg(F.round(F.sum("w"), 6).alias("score"), F.count_distinct("group_no").alias("held"))
-    return top_k(met.filter("held = need").drop("held", "need"), k)
-
-
-def strict_groups(questions: DataFrame) -> DataFrame:
+def strict_groups(questions: DataFrame, keywords: Callable[[Column], Column] | None = None) -> DataFrame:
     """(question_id, group_no, term) from the entity and concept groups of each question."""
-    from lodestack.functions import lexicon as L
-
-    focus = T.focus_terms("question")
+    focus = T.focus_terms("question") if keywords is None else keywords(F.col("question"))
     entities = F.transform(T.entity_groups("question", focus), lambda g: F.array_distinct(F.transform(g, lambda a: F.regexp_replace(a, "[^a-z0-9]", ""))))
     concepts = F.transform(T.concept_groups("question"), lambda g: T.words(*L.PROGNOSIS_TERMS))
     return questions.select("question_id", F.posexplode(F.concat(entities, concepts)).alias("group_no", "g")).select("question_id", "group_no", F.explode("g").alias("term"))

@@ -150,7 +150,9 @@ SQL["signals"] = ruled(conflict=rules.conflict("duck"), animal=rules.ANIMAL_ONLY
 SQL["score_paper"] = ruled(**evidence.score_sql("duck"))
 SQL["exact_title_dedup"] = f"""{with_views('papers')}, n AS (SELECT pmid, pmid % 5 AS question_id, array_to_string({tok('title')}, ' ') AS norm, abstract FROM papers)
 SELECT question_id, min(pmid) AS pmid FROM n WHERE NOT (length(norm) = 0 OR (length(norm) < 8 AND length(trim(coalesce(abstract, ''))) < 40)) GROUP BY question_id, norm"""
-SQL["title_jaccard_pairs"] = f"""{with_views('papers')}, s AS (SELECT pmid, list_distinct(list_filter({tok('title')}, lambda t: len(t) > 2)) AS k FROM papers)
+SQL["title_classes"] = f"""{with_views('papers')}, s AS (SELECT pmid, list_sort(list_distinct(list_filter({tok('title')}, lambda t: len(t) > 2))) AS k FROM papers)
+SELECT pmid AS id, min(pmid) OVER (PARTITION BY k) AS representative FROM s WHERE len(k) > 0"""
+SQL["title_jaccard_pairs"] = f"""{with_views('papers')}, s AS (SELECT min(pmid) AS pmid, k FROM (SELECT pmid, list_sort(list_distinct(list_filter({tok('title')}, lambda t: len(t) > 2))) AS k FROM papers) GROUP BY k)
 SELECT a, b, j AS jaccard FROM (SELECT x.pmid AS a, y.pmid AS b, round(len(list_intersect(x.k, y.k)) / (len(x.k) + len(y.k) - len(list_intersect(x.k, y.k))), 6) AS j
   FROM s x JOIN s y ON x.pmid < y.pmid AND len(x.k) > 0 AND len(y.k) > 0) WHERE j >= 0.8"""
 SQL["balanced_context"] = f"""{with_views('papers')}, p AS (SELECT pmid, pmid % 11 AS question_id, pmid % 11 < 5 AS clinical, lower(coalesce(pubtypes, '') || ' ' || coalesce(title, '')) AS ev FROM papers),
@@ -217,5 +219,48 @@ SQL["coerce_year"] = r"""SELECT doc_id, CAST(CASE WHEN regexp_full_match(h, '[0-
 SQL["unique_ids"] = "SELECT user_id AS pmid, min(event_id) AS pos FROM events WHERE event_id % 6 <> 0 AND user_id >= 0 GROUP BY user_id"
 SQL["parse_xml"] = with_views("papers") + " SELECT pmid, trim(title) AS title, coalesce(journal, '') AS journal, year, pubtypes, 0 AS retracted FROM papers"
 SQL["parse_chunk_json"] = with_views("papers") + " SELECT pmid, title, coalesce(journal, '') AS journal, year, pubtypes FROM papers"
-_expected = [(3, "meta-analysis", True, "", ""), (2, "other", False, "", "x"), (0, "randomized_trial", False, "", ""), (None, "other", False, "", ""), (None, "other", False, "", ""), (3, "other", False, "", "")]
+_expected = [(2, "other", False, "", ""), (1, "cohort", False, "", ""), (3, "meta-analysis", True, "", ""), (2, "other", False, "", "x"), (0, "randomized_trial", False, "", ""), (None, "other", False, "", ""), (None, "other", False, "", ""), (3, "other", False, "", "")]
 SQL["normalize_judgement"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if r is None else r}, '{e}', {a}, '{p}', '{w}')" for i, (r, e, a, p, w) in enumerate(_expected[: len(REPLIES)])) + ") AS v(reply_id, relevance, evidence_type, answers_question, population_or_model, reason)"
+
+_TITLED = with_views("judged", "papers") + _RUNS
+SQL["artifact_ids"] = _TITLED + "SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY pos) - 1 AS INT) AS pos, pmid FROM n JOIN papers USING (pmid)"
+SQL["text_ids"] = _ANS + r"SELECT answer_id, CAST(i - 1 AS INT) AS pos, CAST(v[i] AS BIGINT) AS pmid FROM (SELECT answer_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT answer_id, regexp_extract_all(answer, '\b[0-9]{5,9}\b') AS v FROM a))"
+SQL["selected_rows"] = _TITLED + """, r AS (SELECT question_id AS q, string_agg(CAST(pmid AS VARCHAR), ',' ORDER BY pos) AS ids, count(*) AS k FROM n JOIN papers USING (pmid) GROUP BY question_id),
+w AS (SELECT * FROM (VALUES (0, 1, 'exact'), (1, 12, 'contains'), (2, NULL, 'ambiguous'), (3, NULL, 'missing')) AS v(question_id, q, status))
+SELECT CAST(question_id AS BIGINT) AS question_id, status, coalesce(ids, '') AS ids, coalesce(k, 0) AS n_valid FROM w LEFT JOIN r USING (q)"""
+SQL["load_papers"] = with_views("papers") + """, e AS (SELECT 10000000 + user_id AS pmid, min(event_id) AS pos FROM events GROUP BY 1)
+SELECT pmid, CASE WHEN pmid % 4 = 0 THEN 'fetched' ELSE title END AS title, CASE WHEN pmid % 4 = 0 THEN 'Fetched Journal' ELSE journal END AS journal,
+  CAST(CASE WHEN pmid % 4 = 0 THEN 2001 ELSE year END AS INT) AS year, pos FROM papers JOIN e USING (pmid) WHERE pmid % 4 = 0 OR title <> '' OR abstract <> ''"""
+SQL["uncited_ids"] = with_views("papers", "citations") + " SELECT DISTINCT pmid FROM papers WHERE pmid NOT IN (SELECT pmid FROM citations)"
+SQL["judge_deltas"] = with_views("judged") + """, x AS (SELECT question_id, pmid, relevance::DOUBLE AS old_relevance, least(3, relevance + pmid % 3 - 1)::DOUBLE AS new_relevance FROM judged)
+SELECT * FROM (SELECT *, new_relevance - old_relevance AS delta, CAST(row_number() OVER (PARTITION BY question_id ORDER BY abs(new_relevance - old_relevance) DESC, new_relevance - old_relevance DESC, pmid DESC) AS INT) AS nth
+  FROM x WHERE new_relevance <> old_relevance) WHERE nth <= 5"""
+SQL["run_means"] = with_views("judged") + """, m AS (SELECT 'relevance' AS metric, pmid % 2 AS s, relevance::DOUBLE AS v FROM judged UNION ALL SELECT 'seconds', pmid % 2, CASE WHEN pmid % 5 > 0 THEN (pmid % 1000) / 8e0 END FROM judged)
+SELECT metric, round(avg(v) FILTER (s = 0), 6) AS old_mean, round(avg(v) FILTER (s = 1), 6) AS new_mean, round(avg(v) FILTER (s = 1) - avg(v) FILTER (s = 0), 6) AS delta FROM m GROUP BY metric"""
+_PAIR = _ANS + r""", b AS (SELECT answer_id, answer, CASE WHEN conv_id % 3 = 0 THEN regexp_replace(answer, '\[[^\]]*\]', '', 'g') ELSE answer END || ' [' || (10000005 + conv_id) || ']' AS later FROM a),
+c AS (SELECT answer_id AS question_id, """ + f"{cited('answer')} AS o, {cited('later')} AS n FROM b) "
+_list = lambda x: f"array_to_string(list_sort({x}), ',')"
+SQL["cited_sets"] = _PAIR + f"""SELECT question_id, {_list('list_intersect(o, n)')} AS in_both, {_list('list_distinct(list_concat(o, n))')} AS in_either,
+  {_list('list_filter(n, lambda v: NOT list_contains(o, v))')} AS added, {_list('list_filter(o, lambda v: NOT list_contains(n, v))')} AS removed FROM c"""
+SQL["run_presence"] = with_views("judged") + " SELECT question_id, CASE question_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'old' ELSE 'both' END AS side FROM judged GROUP BY question_id"
+SQL["answer_papers"] = _ANS + f"""SELECT answer_id AS question_id, pos, pmid FROM (SELECT answer_id, {cited('answer')} AS c, unnest([10000002 + conv_id, 10000000 + conv_id, 10000003]) AS pmid, unnest([0, 1, 2])::INT AS pos FROM a)
+WHERE list_contains(c, pmid)"""
+SQL["formatted"] = r"""SELECT doc_id, CASE WHEN length(f) <= 60 THEN f ELSE rtrim(substr(f, 1, 60)) || '…' END AS excerpt, coalesce(printf('%.1f', n), 'n/a') AS shown, coalesce(CASE WHEN n >= 0 THEN '+' ELSE '' END || printf('%.2f', n) || 's', 'n/a') AS delta
+FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS f, CASE WHEN doc_id % 7 > 0 THEN (doc_id % 41 - 20) / 4e0 END AS n FROM documents)"""
+_CHUNKED = with_views("papers", "vectors", "citations") + """, c AS (SELECT CAST(v.pmid % 4 AS INT) AS chunk, CAST(floor((v.pmid - 10000000) / 4) AS BIGINT) AS pos, v.pmid, p.pmid AS known,
+  coalesce(p.title, '') AS title, coalesce(p.abstract, '') AS abstract, p.year, CAST(len(vector) AS BIGINT) AS dim FROM vectors v LEFT JOIN papers p ON p.pmid = v.pmid AND p.pmid % 3 > 0 WHERE v.pmid % 50 < 48) """
+SQL["load_chunks"] = _CHUNKED + "SELECT chunk, pos, pmid, title, length(abstract) AS n_abstract, year, dim FROM c"
+SQL["snapshot_report"] = _CHUNKED + """, n AS (SELECT count(*)::DOUBLE AS p, count(DISTINCT pmid)::DOUBLE AS di, (SELECT count(*)::DOUBLE FROM citations) AS ci,
+  round(100e0 * count(*) FILTER (title <> '' OR abstract <> '') / count(*), 3) AS te, round(100e0 * count(*) FILTER (abstract <> '') / count(*), 3) AS ab, round(100e0 * count(*) FILTER (year IS NOT NULL) / count(*), 3) AS ye FROM c),
+k AS (SELECT unnest(['papers', 'distinct_ids', 'vectors', 'citations', 'text_coverage', 'abstract_coverage', 'year_coverage']) AS "check", unnest([p, di, p, ci, te, ab, ye]) AS value, unnest([p > 0, di = p, p > 0, ci > 0, te >= 95, ab >= 95, ye >= 95]) AS ok FROM n)
+SELECT "check", value, CASE WHEN ok THEN 'pass' ELSE 'warn' END AS status FROM k UNION ALL SELECT 'overall', count(*) FILTER (NOT ok)::DOUBLE, CASE WHEN bool_and(ok) THEN 'pass' ELSE 'warn' END FROM k"""
+_HEAD = "'[' || pmid || '] (' || coalesce(CAST(nullif(year, 0) AS VARCHAR), '?') || ', ' || coalesce(journal, '') || '; types=' || coalesce(pubtypes, '') || ')' || chr(10) || 'Title: ' || coalesce(title, '')"
+_cut = lambda n: f"CASE WHEN length(coalesce(abstract, '')) > {n} THEN substr(abstract, 1, {n}) || '...[truncated]' ELSE coalesce(abstract, '') END"
+SQL["text_blocks"] = with_views("papers") + f""" SELECT pmid, md5({_HEAD} || chr(10) || 'Abstract: ' || {_cut(400)}) AS paper, md5({_HEAD} || chr(10) || 'Evidence note: A note on ' || pmid || '.') AS noted,
+  md5('PMID: ' || pmid || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Year: ' || coalesce(CAST(year AS VARCHAR), '') || chr(10) || 'Journal: ' || coalesce(journal, '') || chr(10)
+    || 'Publication types: ' || coalesce(pubtypes, '') || chr(10) || 'Abstract: ' || {_cut(6000)}) AS judged, '[' || pmid || '] ' || coalesce(title, '') AS line FROM papers"""
+_ASKED = with_views("judged", "papers", "questions") + _RUNS + ", q AS (SELECT n.question_id, pmid, pos, question, title, abstract, year, journal, pubtypes FROM n JOIN questions USING (question_id) JOIN papers USING (pmid) WHERE question_id < 13) "
+SQL["paper_notes"] = _ASKED + "SELECT question_id, pmid, trim(title) || ' [' || pmid || ']' AS note FROM q"
+SQL["judged_papers"] = _ASKED + r"""SELECT question_id, pmid, CAST(least(3, len(list_filter(list_filter(list_distinct(regexp_extract_all('question: ' || lower(string_split(question, chr(10) || chr(10))[1]), '[a-z0-9]+')), lambda w: len(w) > 4 AND w <> 'question'),
+  lambda w: contains(lower('PMID: ' || pmid || ' title: ' || coalesce(title, '') || ' year: ' || coalesce(CAST(year AS VARCHAR), '') || ' journal: ' || coalesce(journal, '') || ' publication types: ' || coalesce(pubtypes, '') || ' abstract: ' || """ + _cut(6000) + r"""), w)))) AS INT) AS relevance,
+  'other' AS evidence_type, NULL::VARCHAR AS error FROM q"""

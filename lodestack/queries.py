@@ -12,10 +12,13 @@ from lodestack.config import Settings
 from lodestack.functions import rules, scoring
 from lodestack.functions import text as T
 from lodestack.operators import citations as C
-from lodestack.operators import context, dense, evaluate, evidence, lexical
+from lodestack.operators import context, dense, evaluate, evidence, index, lexical
 from lodestack.plans import search as plan
 from lodestack.plans.fixtures import view
+from lodestack.sources import artifacts as A
+from lodestack.sources import chunks
 from lodestack.sources import records as R
+from lodestack.storage import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -72,8 +75,30 @@ def phrase_present(spark, d):
 # --- lexical and dense retrieval, fusion
 
 
-def corpus(spark, d) -> plan.Corpus:
-    return plan.Corpus.of(view(spark, d, "papers"), view(spark, d, "citations"), view(spark, d, "vectors").select("pmid", "vector"))
+BUILT: dict[tuple, str] = {}
+
+
+def stored(spark, d, kind: str, build: Callable[[str], object]) -> str:
+    """The folder of an index of this session over the tables in d, built at first use."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in BUILT:
+        folder = new_folder(spark, kind)
+        build(folder)
+        BUILT[key] = folder
+    return BUILT[key]
+
+
+def lexical_index(spark, d, stemmed: bool = False) -> index.Lexical:
+    folder = stored(spark, d, f"index-{'stems' if stemmed else 'words'}", lambda to: index.Lexical.build(view(spark, d, "papers"), to, stemmed))
+    return index.Lexical.open(spark, folder, stemmed)
+
+
+def cells(spark, d) -> index.Cells:
+    return index.Cells.open(spark, stored(spark, d, "cells", lambda to: index.Cells.build(view(spark, d, "vectors"), to)))
+
+
+def corpus(spark, d, stemmed: bool = False) -> plan.Corpus:
+    return plan.Corpus(view(spark, d, "papers"), view(spark, d, "citations"), view(spark, d, "vectors").select("pmid", "vector"), lexical_index(spark, d, stemmed))
 
 
 def asked(spark, d) -> DataFrame:
@@ -93,14 +118,24 @@ def doc_stats(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    c = corpus(spark, d)
-    return lexical.bm25(plan.question_terms(view(spark, d, "questions"), T.query_terms("question")), c.index, c.stats, 100)
+    return lexical_index(spark, d).bm25(plan.question_terms(view(spark, d, "questions"), T.query_terms("question")), 100)
 
 
 @query
 def bm25_strict_topk(spark, d):
-    c = corpus(spark, d)
-    return lexical.bm25_strict(lexical.strict_groups(view(spark, d, "probes")), c.index, c.stats, 100)
+    return lexical_index(spark, d).bm25_strict(lexical.strict_groups(view(spark, d, "probes")), 100)
+
+
+@query
+def bm25_stemmed_topk(spark, d):
+    """Over the stemmed index, as the reference's index is."""
+    q = view(spark, d, "questions").unionByName(view(spark, d, "probes").withColumn("question_id", -1 - F.col("question_id")))
+    return lexical_index(spark, d, True).bm25(plan.question_terms(q, T.query_terms("question")), 100)
+
+
+@query
+def stemmed_terms(spark, d):
+    return lexical_index(spark, d, True).terms
 
 
 @query
@@ -110,7 +145,9 @@ def dense_topk(spark, d):
 
 @query
 def ivf_topk(spark, d):
-    return dense.ivf(asked(spark, d).select("question_id", "vector"), view(spark, d, "vectors"), 10)
+    """Over the stored cells, a tenth of them for each query."""
+    c = cells(spark, d)
+    return c.search(asked(spark, d).select("question_id", "vector"), 10, max(1, len(c.centres) // 10))
 
 
 @query
@@ -122,9 +159,10 @@ def recall_at_k(spark, d):
 
 @query
 def ivf_recall(spark, d):
-    """Recall of the approximate index against the exact search, over all vectors."""
-    v, q = view(spark, d, "vectors"), asked(spark, d).select("question_id", "vector")
-    return dense.recall(dense.ivf(q, v, 10), dense.dense(q, v, 10))
+    """Recall of the stored cells against the exact search over all vectors, by the number of cells that a query visits."""
+    c = cells(spark, d)
+    probes = sorted({max(1, len(c.centres) * share // 100) for share in (2, 5, 10, 20, 40, 70, 100)})
+    return dense.recall_sweep(asked(spark, d).select("question_id", "vector"), c.rows, c.centres, 10, probes)
 
 
 @query
@@ -163,7 +201,7 @@ def final_rank(spark, d):
 
 @query
 def search(spark, d):
-    return plan.search(corpus(spark, d), asked(spark, d), 10).select("question_id", "pmid", "score", "context_pos", "context_group")
+    return plan.search(corpus(spark, d, True), asked(spark, d), 10).select("question_id", "pmid", "score", "context_pos", "context_group")
 
 
 @query
@@ -176,7 +214,7 @@ def chosen(spark, d) -> DataFrame:
     v = view(spark, d, "vectors").select((F.col("pmid") - 10000000).alias("question_id"), "vector")
     probes = view(spark, d, "probes")
     expanded = probes.select("question_id", T.retrieval_query("question").alias("question")).join(v, "question_id", "left")
-    c = corpus(spark, d)
+    c = corpus(spark, d, True)
     return plan.select(plan.search(c, expanded, 30).join(probes, "question_id"), c)
 
 
@@ -270,6 +308,11 @@ def title_jaccard_pairs(spark, d):
     return context.title_jaccard_pairs(view(spark, d, "papers"), 0.8)
 
 
+@query
+def title_classes(spark, d):
+    return context.title_classes(view(spark, d, "papers"))
+
+
 @query
 def greedy_dedup(spark, d):
     """All papers; a block has no more of them than may be kept, so each one is compared."""
@@ -372,7 +415,7 @@ def citation_audit(spark, d):
     return evaluate.citation_audit(run.withColumn("impact", F.round(F.expr(scoring.impact()), 6)))
 
 
-REPLIES = ['{"relevance": "5", "evidence_type": "meta analysis"}', '```json\n{"relevance": 2, "answers_question": true, "reason": "x"}\n```', 'Sure: {"relevance": -1, "evidence_type": "Clinical Trial"} done', "no json", '{"relevance": "x", "evidence_type": "poem"}', '{"relevance": 3, "answers_question": false}']
+REPLIES = ['{"relevance": 2.7}', '{"relevance": "1.0", "evidence_type": "cohort"}', '{"relevance": "5", "evidence_type": "meta analysis"}', '```json\n{"relevance": 2, "answers_question": true, "reason": "x"}\n```', 'Sure: {"relevance": -1, "evidence_type": "Clinical Trial"} done', "no json", '{"relevance": "x", "evidence_type": "poem"}', '{"relevance": 3, "answers_question": false}']
 
 
 @query
@@ -388,7 +431,8 @@ def normalize_judgement(spark, d):
 def upsert_papers(spark, d):
     p = view(spark, d, "papers")
     new = p.where("pmid % 3 = 0").withColumn("title", F.concat(F.lit("new "), "title")).unionByName(p.where("pmid % 50 = 0").withColumns({"pmid": F.col("pmid") + 5000000, "title": F.lit("added")}))
-    return R.upsert(p, new).select("pmid", "title", "year")
+    again = new.where("pmid % 6 = 0").withColumn("title", F.lit("overtaken")).withColumn("turn", F.lit(0))
+    return R.upsert(p, again.unionByName(new.withColumn("turn", F.lit(1))), order="turn").select("pmid", "title", "year")
 
 
 def fetched(spark, d) -> DataFrame:
@@ -455,5 +499,165 @@ def parse_chunk_json(spark, d):
 @query
 def answer_pipeline(spark, d):
     """Search, select, answer with the stand-in model, validate."""
-    c = chosen(spark, d).join(view(spark, d, "papers").select("pmid", "title", "abstract"), "pmid")
+    c = chosen(spark, d).join(view(spark, d, "papers"), "pmid")
     return C.validate(models.answer(c, view(spark, d, "probes"))).select("question_id", "answer")
+
+
+# --- artifacts, overlays, chunks
+
+
+def artifact(spark, d) -> DataFrame:
+    """The newer run as one artifact a question."""
+    met = runs(spark, d)[1].select("question_id", "pmid", "pos").join(view(spark, d, "papers").select("pmid", "title", "year"), "pmid")
+    named = met.withColumns({"question": F.concat(F.lit("Question "), F.col("question_id").cast("string"), F.lit(" of the set")), "score": 1.0 / F.col("pos"), "answer": F.lit("See [10000001].")})
+    return A.as_artifact(named)
+
+
+@query
+def artifact_ids(spark, d):
+    return A.ids_in_json(artifact(spark, d), "json", "question_id")
+
+
+@query
+def text_ids(spark, d):
+    return A.ids_in_text(view(spark, d, "answers"), "answer", "answer_id")
+
+
+@query
+def selected_rows(spark, d):
+    """Rows of one artifact by exact, contained, ambiguous and unknown questions, and the ids that they hold."""
+    rows = artifact(spark, d).withColumn("json", F.concat(F.lit("["), F.col("json"), F.lit("]")))
+    rows = A.rows_of(rows, "json").select(F.col("question_id").cast("int").alias("n"), "row")
+    want = spark.sql("SELECT * FROM VALUES (0L, ' QUESTION 1 of the set '), (1L, 'question 12'), (2L, 'question 1'), (3L, 'nothing') AS w(question_id, question)")
+    met = A.row_ids(A.select_row(rows, want), "retrieved")
+    return met.select("question_id", "status", joined(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size(A.valid_ids()).cast("long").alias("n_valid"))
+
+
+@query
+def load_papers(spark, d):
+    """Mentioned ids with their records; where the local one has no title, the fetched one overlays it."""
+    ids = table(spark, d, "events").select((10000000 + F.col("user_id")).alias("pmid"), F.col("event_id").alias("pos"))
+    local = view(spark, d, "papers").withColumn("title", F.when(F.col("pmid") % 4 == 0, "").otherwise(F.col("title")))
+    return A.load_papers(ids, local, fetched(spark, d)).select("pmid", "title", "journal", "year", "pos")
+
+
+@query
+def uncited_ids(spark, d):
+    return A.without_citations(view(spark, d, "papers"), view(spark, d, "citations"))
+
+
+@query
+def judge_deltas(spark, d):
+    j = view(spark, d, "judged")
+    return evaluate.judge_deltas(j, j.withColumn("relevance", F.least(F.lit(3), F.col("relevance") + F.col("pmid") % 3 - 1)), 5)
+
+
+@query
+def flagged_papers(spark, d):
+    run = runs(spark, d)[1].select("question_id", "pmid", "pos").join(cited_papers(spark, d), "pmid")
+    return evaluate.flagged(run.withColumn("impact", F.round(F.expr(scoring.impact()), 6))).select("question_id", "pmid", "impact", F.col("nth").cast("long").alias("nth"))
+
+
+@query
+def run_means(spark, d):
+    j = view(spark, d, "judged").withColumn("side", F.when(F.col("pmid") % 2 == 0, "old").otherwise("new"))
+    j = j.withColumns({"relevance": F.col("relevance").cast("double"), "seconds": F.when(F.col("pmid") % 5 > 0, (F.col("pmid") % 1000) / 8.0)})
+    return evaluate.run_means(j, ["relevance", "seconds"])
+
+
+def answer_pair(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Each answer, and a later one to the same question."""
+    a = view(spark, d, "answers").withColumn("question_id", F.col("answer_id"))
+    without = F.when(F.col("conv_id") % 3 == 0, F.regexp_replace("answer", r"\[[^\]]*\]", "")).otherwise(F.col("answer"))
+    return a, a.withColumn("answer", F.concat(without, F.lit(" ["), (10000005 + F.col("conv_id")).cast("string"), F.lit("]")))
+
+
+@query
+def cited_sets(spark, d):
+    met = evaluate.cited_sets(*answer_pair(spark, d))
+    return met.select("question_id", *[joined(F.col(c).cast("array<string>"), ",").alias(c) for c in ("in_both", "in_either", "added", "removed")])
+
+
+@query
+def run_presence(spark, d):
+    j = view(spark, d, "judged")
+    return evaluate.run_presence(j.where("question_id % 3 <> 0"), j.where("question_id % 3 <> 1"))
+
+
+@query
+def answer_papers(spark, d):
+    """Of three papers offered to each answer, those that it cites."""
+    a = view(spark, d, "answers").withColumn("question_id", F.col("answer_id"))
+    offered = a.select("question_id", F.posexplode(F.array(10000002 + F.col("conv_id"), 10000000 + F.col("conv_id"), F.lit(10000003).cast("long"))).alias("pos", "pmid"))
+    return evaluate.cited_papers(a, offered)
+
+
+@query
+def formatted(spark, d):
+    n = F.when(F.col("doc_id") % 7 > 0, (F.col("doc_id") % 41 - 20) / 4.0)
+    return table(spark, d, "documents").select("doc_id", A.excerpt("text", 60).alias("excerpt"), A.decimals(n, 1).alias("shown"), A.signed(n, "s").alias("delta"))
+
+
+def chunk_parts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vectors' ids in four chunks, vectors that lack each chunk's last two, and texts of two papers in three."""
+    v = view(spark, d, "vectors")
+    ids = v.select((F.col("pmid") % 4).cast("int").alias("chunk"), F.floor((F.col("pmid") - 10000000) / 4).alias("pos"), "pmid")
+    vectors = ids.join(v, "pmid").where("pmid % 50 < 48").select("chunk", "pos", "vector")
+    record = F.to_json(F.struct(F.col("title").alias("t"), F.col("abstract").alias("a"), F.concat(F.col("year").cast("string"), F.lit("0101")).alias("d")))
+    texts = view(spark, d, "papers").where("pmid % 3 > 0").select((F.col("pmid") % 4).cast("int").alias("chunk"), "pmid", record.alias("record"))
+    return ids, vectors, texts
+
+
+@query
+def load_chunks(spark, d):
+    return chunks.load_chunks(*chunk_parts(spark, d)).select("chunk", "pos", "pmid", "title", F.length("abstract").cast("long").alias("n_abstract"), "year", F.size("vector").cast("long").alias("dim"))
+
+
+@query
+def snapshot_report(spark, d):
+    """Tables built from chunks, and the checks of what was written."""
+    return chunks.build(spark, chunks.load_chunks(*chunk_parts(spark, d)), view(spark, d, "citations"), new_folder(spark, "snapshot"))
+
+
+# --- models
+
+
+@query
+def text_blocks(spark, d):
+    p = view(spark, d, "papers").withColumn("note", F.concat(F.lit(" A note on "), F.col("pmid").cast("string"), F.lit(". ")))
+    return p.select("pmid", F.md5(models.paper_block(400)).alias("paper"), F.md5(models.note_block()).alias("noted"), F.md5(models.judge_block()).alias("judged"), models.title_line().alias("line"))
+
+
+def asked_papers(spark, d) -> DataFrame:
+    """The newer run with a question and the papers' columns."""
+    q = view(spark, d, "questions").where("question_id < 13")
+    return runs(spark, d)[1].select("question_id", "pmid", "pos").join(q, "question_id").join(view(spark, d, "papers"), "pmid")
+
+
+@query
+def paper_notes(spark, d):
+    return models.notes(asked_papers(spark, d))
+
+
+@query
+def judged_papers(spark, d):
+    return models.judge(asked_papers(spark, d)).select("question_id", "pmid", "relevance", "evidence_type", "error")
+
+
+@query
+def summaries(spark, d):
+    return models.summarize(asked_papers(spark, d), least=8)
+
+
+@query
+def encoded_papers(spark, d):
+    """Vectors of the papers' texts by the stand-in encoder, as their length and largest component."""
+    v = models.encode(view(spark, d, "papers").select("pmid", "title", "abstract"), models.article_text(), lambda: models.hashed_vectors)
+    return v.select("pmid", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("square"))
+
+
+@query
+def answer_response(spark, d):
+    """What a service returns for the probes."""
+    c = chosen(spark, d).join(view(spark, d, "papers"), "pmid")
+    return models.response(C.validate(models.answer(c, view(spark, d, "probes"))), c)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,12 +53,12 @@ def coerce_year(value: Column | str) -> Column:
     return F.when(head.rlike("^[0-9]{4}$") & head.try_cast("int").between(1800, 2200), head.try_cast("int"))
 
 
-def text_records(df: DataFrame, json: str, id_col: str = "pmid") -> DataFrame:
+def text_records(df: DataFrame, json: str, id_col: str = "pmid", keep: Sequence[str] = ()) -> DataFrame:
     """Papers from JSON objects with short or long field names: t/title, a/abstract, j/journal, y/year/d/date,
-    m/mesh, p/pt/pubtypes (lists joined by "; "); anything that is no object gives blanks."""
+    m/mesh, p/pt/pubtypes (lists joined by "; "); anything that is no object gives blanks. ``keep``: further columns."""
     get = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(json, f"$.{n}"), F.lit("")) for n in names], F.lit(""))
     joined = lambda c: F.when(F.startswith(c, F.lit("[")), F.array_join(F.from_json(c, "array<string>"), "; ")).otherwise(c)
-    return df.select(F.col(id_col).cast("long").alias("pmid"), get("t", "title").alias("title"), get("a", "abstract").alias("abstract"), get("j", "journal").alias("journal"), coerce_year(get("y", "year", "d", "date")).alias("year"), joined(get("m", "mesh")).alias("mesh"), joined(get("pt", "pubtypes", "p")).alias("pubtypes"), F.lit(0).alias("retracted"))
+    return df.select(*keep, F.col(id_col).cast("long").alias("pmid"), get("t", "title").alias("title"), get("a", "abstract").alias("abstract"), get("j", "journal").alias("journal"), coerce_year(get("y", "year", "d", "date")).alias("year"), joined(get("m", "mesh")).alias("mesh"), joined(get("pt", "pubtypes", "p")).alias("pubtypes"), (~get("retracted").isin("", "0", "0.0", "false")).cast("int").alias("retracted"))
 
 
 def text_map(spark: SparkSession, path: str) -> DataFrame:
@@ -82,10 +82,13 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "pmid", order: str | None = None) -> DataFrame:
-    """old with the rows of new in their place by key, the last of new winning (by ``order``, if given). Rewrites all."""
-    both = old.withColumn("_n", F.lit(None).cast("double")).unionByName(new.withColumn("_n", F.col(order).cast("double") if order else F.lit(0.0)), allowMissingColumns=True)
-    nth = Window.partitionBy(key).orderBy(F.col("_n").desc_nulls_last())
-    return both.withColumn("_k", F.row_number().over(nth)).filter("_k = 1").select(*old.columns)
+    """old with the rows of new in their place by key. Of several new rows of a key the one of the largest ``order``
+    wins; without an order new may have a key once only, else which of its rows wins is not defined. Rewrites all."""
+    rest = [c for c in old.columns if c != key]
+    turn = F.lit(1.0) if order is None else F.col(order).cast("double")
+    side = lambda df, n: df.select(key, F.struct(n.alias("n"), F.struct(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in rest]).alias("x")).alias("r"))
+    both = side(old, F.lit(float("-inf"))).union(side(new, F.coalesce(turn, F.lit(-1e308))))
+    return both.groupBy(key).agg(F.max_by("r.x", "r.n").alias("x")).select(*[key if c == key else F.col(f"x.{c}").alias(c) for c in old.columns])
 
 
 def enrich(old: DataFrame, fetched: DataFrame, replace: bool = False) -> DataFrame:
@@ -102,9 +105,11 @@ def enrich(old: DataFrame, fetched: DataFrame, replace: bool = False) -> DataFra
     return met.select("pmid", *[made[c].alias(c) for c in COLUMNS[1:]])
 
 
-def missing_metadata(papers: DataFrame) -> DataFrame:
+def missing_metadata(papers: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ids without journal, publication types or year; the first ``limit`` by id, if given."""
     blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    return papers.where(blank("journal") | blank("pubtypes") | F.col("year").isNull()).select("pmid")
+    out = papers.where(blank("journal") | blank("pubtypes") | F.col("year").isNull()).select("pmid")
+    return out if limit is None else out.orderBy("pmid").limit(limit)
 
 
 def integrity_report(papers: DataFrame, citations: DataFrame, vectors: DataFrame, least: float = 95.0) -> DataFrame:
