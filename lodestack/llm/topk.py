@@ -1,10 +1,14 @@
 """Exact top-k inner-product search with a pivot-distance index.
 
 Vectors are keyed by their nearest pivot and their distance to it; the distances of a pivot are cut into annuli, and
-an annulus is held in blocks of bounded size. A vector c of an annulus lo..hi round pivot p is at least
-max(0, lo - d(q, p), d(q, p) - hi) from a query q (triangle inequality), and 2 q.c = |q|^2 + |c|^2 - d(q, c)^2, so an
-annulus has an upper bound of its scores. A query first searches its own block, then the annuli with the best bounds,
-then all that are left whose bound reaches its k-th score so far; the rest cannot hold a better or equal one.
+an annulus is held in blocks of bounded size. Of each annulus the least and greatest distance to every pivot are known.
+A vector c of it is at least max over pivots p of (lo_p - d(q, p), d(q, p) - hi_p) from a query q (triangle
+inequality), and 2 q.c = |q|^2 + |c|^2 - d(q, c)^2; also q.c <= q.p + |q| hi_p for its own pivot. The lower of the two
+is the annulus's bound. A query first searches its own block, then the annuli with the best bounds, then in a second
+round all that are left whose bound reaches its k-th score so far; the rest cannot hold a better or equal one.
+
+Queries are sent to the blocks in groups of bounded size; the blocks stay where they are. A partition keeps the k best
+of each query and hands on only those.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +28,14 @@ from lodestack.llm.common import checkpoint
 SAMPLE = 4096
 PIVOTS = 32
 RINGS = 8
-#: Vectors of a block and queries of a lot, about.
+#: Vectors of a block and queries of a group, about.
 BLOCK = 4096
-LOT = 2048
+GROUP = 16_384
 #: Annuli of the second round.
 NEAREST = 16
 FOUND = "query_id long, vec_id long, score long"
+#: Stands for no id, and a score under every other.
+NONE, FAR = np.iinfo(np.int64).max, -(1 << 62)
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -85,123 +92,155 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, least: np.ndarray) -> list[tuple[int, int, int]]:
-    """For each query the k highest scores (ties to the smaller id) that reach its least, its own id left out."""
-    rows = []
-    score = products(q, c)
-    for i in range(len(q_ids)):
-        s = score[i]
-        at = np.flatnonzero((s >= least[i]) & (ids != q_ids[i]))
-        if len(at) > 4 * k:
-            cut = np.partition(s[at], len(at) - k)[len(at) - k]
-            at = at[s[at] >= cut]
-        seen: set[tuple[int, int]] = set()
-        for j in at[np.lexsort((ids[at], -s[at]))]:
-            seen.add((int(ids[j]), int(s[j])))
-            if len(seen) >= k:
-                break
-        rows += [(int(q_ids[i]), n, v) for n, v in seen]
-    return rows
+class Best:
+    """The k best different (score, then smaller id) of each query so far; scores under ``least`` do not count."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.k = k
+        self.score, self.id = np.repeat(least[:, None] - 1, k, axis=1), np.full((len(least), k), NONE)
+
+    def least(self) -> np.ndarray:
+        """The score that counts from now on."""
+        return np.where(self.id[:, -1] == NONE, self.score[:, -1] + 1, self.score[:, -1])
+
+    def add(self, of: np.ndarray, own: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """score: a row for each query in ``of`` (of the id in ``own``), a column for each of ids."""
+        hit = score >= self.least()[of][:, None]
+        for row in np.flatnonzero(hit.any(axis=1)).tolist():
+            i, at = of[row], np.flatnonzero(hit[row])
+            at = at[ids[at] != own[row]]
+            if len(at) > 64 * self.k:
+                at = at[np.lexsort((ids[at], -score[row][at]))]
+                fresh = np.append(True, (ids[at][1:] != ids[at][:-1]) | (score[row][at][1:] != score[row][at][:-1]))
+                at = at[fresh][: self.k]
+            both, held = np.concatenate([self.score[i], score[row][at]]), np.concatenate([self.id[i], ids[at]])
+            order = np.lexsort((held, -both))
+            both, held = both[order], held[order]
+            fresh = np.append(True, (held[1:] != held[:-1]) | (both[1:] != both[:-1])) & (held != NONE)
+            n = min(self.k, int(fresh.sum()))
+            floor = self.score[i, -1]
+            self.score[i], self.id[i] = floor, NONE
+            self.score[i, :n], self.id[i, :n] = both[fresh][:n], held[fresh][:n]
+
+    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
+        n, at = np.nonzero(self.id != NONE)
+        return pd.DataFrame({"query_id": query_ids[n], "vec_id": self.id[n, at], "score": self.score[n, at]}, dtype="int64")
 
 
 def matrix(column: pd.Series, dim: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.int64) if len(column) else np.zeros((0, dim), dtype=np.int64)
 
 
-def frame(rows: list[tuple[int, int, int]]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-
-def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+@dataclass
+class Annuli:
+    """What is known of each annulus: least and greatest distance to every pivot, and the greatest squared norm."""
+
+    cells: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    norm: np.ndarray
+
+    def bounds(self, q: np.ndarray, pivots: Pivots) -> np.ndarray:
+        """No vector of annulus j scores above [i, j] with query i."""
+        q = q.astype(float)
+        d, norm = distances(q, pivots.points), (q * q).sum(axis=1)
+        gap = np.zeros((len(q), len(self.cells)))
+        for p in range(d.shape[1]):
+            at = d[:, p : p + 1]
+            np.maximum(gap, np.maximum(self.lo[:, p] - at, at - self.hi[:, p]) - 1e-6 * (1 + at), out=gap)
+        near = self.cells // (pivots.borders.shape[1] + 1)
+        ball = (q @ pivots.points.T)[:, near] + np.sqrt(norm)[:, None] * self.hi[np.arange(len(near)), near]
+        out = np.minimum((norm[:, None] + self.norm - gap * gap) / 2, ball)
+        return out + 1e-6 * np.abs(out) + 1  # beyond what rounding may have taken
+
+
+def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", visits: Accumulator | None = None) -> DataFrame:
     """The k highest inner products of floor(256 x) for every query row: query_id, rank (from 1), vec_id, score.
 
     ``is_query`` is a condition on the column ``id``. All rows but those of the query's own id are candidates; ties go
     to the smaller id; fewer candidates give fewer rows. Vectors that are null, empty or hold null or non-finite
     components, and rows of null id, take no part; nor do vectors of another length than the most frequent (ties: the
     longest). A repeated id and vector counts once; an id with several vectors has a score with each. Other columns
-    are not read.
+    are not read. visits: is increased by every pair of query and vector that is compared.
     """
     spark = df.sparkSession
     every = checkpoint(whole_vectors(df, id_col, vec_col))
-    length = every.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    length = every.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("count"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).orderBy(F.desc("count"), F.desc("n")).first()
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim = length.n
+    dim, kind = length.n, "<i2" if length.most < 2**15 else "<i4" if length.most < 2**31 else "<i8"
     every = every.filter(F.size("v") == dim)
     sample = every.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     pivots = Pivots.choose(np.array([r.v for r in sample], dtype=np.int64), PIVOTS, RINGS)
+    unpacked = lambda b: np.frombuffer(b, dtype=kind).reshape(-1, dim).astype(np.int64)
 
-    @F.pandas_udf("cell int, far double, norm double")
+    @F.pandas_udf("cell int, d array<double>, norm double, m binary")
     def place(vs: pd.Series) -> pd.DataFrame:
         x = matrix(vs, dim)
-        cell, far = pivots.cells(x)
-        return pd.DataFrame({"cell": cell.astype("int32"), "far": far, "norm": (x.astype(float) ** 2).sum(axis=1)})
+        return pd.DataFrame({"cell": pivots.cells(x)[0].astype("int32"), "d": list(distances(x, pivots.points)), "norm": (x.astype(float) ** 2).sum(axis=1), "m": [r.tobytes() for r in x.astype(kind)]})
 
-    placed = checkpoint(every.withColumn("p", place("v")).select("id", "v", "p.*"))
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi"), F.max("norm").alias("norm"))
-    stats = stats.toPandas()  # at most PIVOTS * RINGS rows
+    placed = checkpoint(every.withColumn("p", place("v")).select("id", is_query.alias("asks"), "p.*"))
+    ends = [f(F.get("d", F.lit(p))).alias(f"{n}{p}") for n, f in (("lo", F.min), ("hi", F.max)) for p in range(len(pivots.points))]
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("norm").alias("norm"), *ends).toPandas()  # at most PIVOTS * RINGS rows
+    side = lambda n: stats[[f"{n}{p}" for p in range(len(pivots.points))]].to_numpy()
+    annuli = Annuli(stats.cell.to_numpy(dtype=np.int64), side("lo"), side("hi"), stats.norm.to_numpy())
     parts = {int(c): -(-int(n) // BLOCK) for c, n in zip(stats.cell, stats.n, strict=True)}
     sub = F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("cell")))
-    blocks = placed.withColumn("block", F.col("cell") * F.lit(1 << 32) + sub).select("block", "id", "v", is_query.alias("asks"))
-
-    def own_block(group: pd.DataFrame) -> pd.DataFrame:
-        ids, x, asks = group.id.to_numpy(), matrix(group.v, dim), group.asks.to_numpy(dtype=bool)
-        rows = []
-        for at in range(0, int(asks.sum()), LOT):
-            q = np.flatnonzero(asks)[at : at + LOT]
-            rows += best(ids[q], x[q], ids, x, k, np.full(len(q), -(2**62)))
-        return frame(rows)
-
-    found = checkpoint(blocks.groupBy("block").applyInPandas(own_block, FOUND))
-    asked = blocks.filter("asks").select("id", "v", F.col("block").alias("own"))
-    n_lots = max(1, -(-asked.count() // LOT))
-    cells, lo, hi, norm = (stats[c].to_numpy() for c in ("cell", "lo", "hi", "norm"))
-    pivot_of = cells // RINGS
-
-    def probe(skip: int, take: int):
-        """The blocks that each query goes to next: its annuli from the skip-th best bound on, as long as that bound
-        reaches its k-th score."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                q = matrix(b.v, dim).astype(float)
-                d = distances(q, pivots.points)[:, pivot_of]
-                gap = np.maximum(0, np.maximum(lo - d, d - hi) - 1e-6 * (1 + d))
-                bound = ((q * q).sum(axis=1)[:, None] + norm - gap * gap) / 2
-                order = np.argsort(-bound, axis=1, kind="stable")
-                rows = {"block": [], "id": [], "least": [], "v": []}
-                for i in range(len(b)):
-                    least = int(b.least.iloc[i])
-                    for c in order[i, skip : skip + take]:
-                        if bound[i, c] + 1e-6 * abs(bound[i, c]) + 1 < least:
-                            break
-                        for s in range(parts[int(cells[c])]):
-                            if (block := int(cells[c]) * (1 << 32) + s) != b.own.iloc[i]:
-                                rows["block"].append(block)
-                                rows["id"].append(b.id.iloc[i])
-                                rows["least"].append(least)
-                                rows["v"].append(b.v.iloc[i])
-                yield pd.DataFrame(rows)
-
-        return run
-
-    def meet(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return frame([])
-        return frame(best(asked.id.to_numpy(), matrix(asked.v, dim), held.id.to_numpy(), matrix(held.v, dim), k, asked.least.to_numpy()))
-
-    for skip, take in ((0, NEAREST), (NEAREST, len(cells))):
-        if skip >= len(cells):
-            break
-        nth = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        kth = found.distinct().withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-        state = asked.join(kth, "id", "left").withColumn("least", F.coalesce("least", F.lit(-(1 << 62))))
-        wanted = checkpoint(state.mapInPandas(probe(skip, take), "block long, id long, least long, v array<long>").withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(n_lots))))
-        tiles = wanted.select(F.col("block").alias("b"), F.col("lot").alias("l")).distinct()
-        tiles = tiles.join(blocks.select(F.col("block").alias("_b"), F.col("id").alias("_id"), F.col("v").alias("_v")), F.col("b") == F.col("_b"))
-        tiles = tiles.select("b", "l", F.col("_id").alias("id"), F.col("_v").alias("v"))
-        more = wanted.groupBy("block", "lot").cogroup(tiles.groupBy("b", "l")).applyInPandas(meet, FOUND)
-        found = checkpoint(found.unionByName(more))
+    blocked = placed.withColumn("block", F.col("cell") * F.lit(1 << 32) + sub)
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": group.block.iloc[:1], "cell": group.cell.iloc[:1], "ids": [group.id.to_numpy(dtype="<i8").tobytes()], "asks": [group.asks.to_numpy(dtype=bool).tobytes()], "m": [b"".join(group.m)]})
+
+    schema = "block long, cell int, ids binary, asks binary, m binary"
+    blocks = checkpoint(blocked.select("block", "cell", "id", F.coalesce("asks", F.lit(False)).alias("asks"), "m").groupBy("block").applyInPandas(pack, schema))
+
+    def own_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, asks, m in zip(b.ids, b.asks, b.m, strict=True):
+                ids, x = np.frombuffer(ids, dtype="<i8"), unpacked(m)
+                for q in np.array_split(of := np.flatnonzero(np.frombuffer(asks, dtype=bool)), -(-len(of) // 1024) or 1):
+                    held = Best(np.full(len(q), FAR), k)
+                    held.add(np.arange(len(q)), ids[q], ids, products(x[q], x))
+                    if visits is not None:
+                        visits.add(len(q) * len(x))
+                    yield held.frame(ids[q])
+
+    found = checkpoint(blocks.mapInPandas(own_block, FOUND))
+    asked = blocked.filter("asks").select("id", "m", "block")
+    groups = max(1, -(-asked.count() // GROUP))
+    for g in range(groups):
+        of_group = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(groups)) == g
+        rows = asked.filter(of_group).collect()  # about GROUP
+        if not rows:
+            continue
+        ids, own = np.array([r.id for r in rows]), np.array([r.block for r in rows])
+        q = unpacked(b"".join(r.m for r in rows))
+        for round_ in range(2):
+            nth = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            known = found.filter(F.pmod(F.xxhash64(F.lit(5), "query_id"), F.lit(groups)) == g).distinct()
+            kth = {r.query_id: r.score for r in known.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") == k).select("query_id", "score").collect()}
+            sent = spark.sparkContext.broadcast((ids, own, q, np.array([kth.get(i, FAR) for i in ids.tolist()])))
+
+            def meet(batches: Iterator[pd.DataFrame], sent=sent, round_=round_) -> Iterator[pd.DataFrame]:
+                ids, own, q, least = sent.value
+                bound, held = annuli.bounds(q, pivots), Best(least, k)
+                turn = np.zeros_like(bound, dtype=bool)  # the annuli of this round: the NEAREST best, then the others
+                np.put_along_axis(turn, np.argsort(-bound, axis=1, kind="stable")[:, :NEAREST], True, axis=1)
+                turn = turn if not round_ else ~turn
+                column = {int(c): j for j, c in enumerate(annuli.cells)}
+                for b in batches:
+                    for block, cell, b_ids, m in zip(b.block, b.cell, b.ids, b.m, strict=True):
+                        j = column[int(cell)]
+                        of = np.flatnonzero(turn[:, j] & (bound[:, j] >= held.least()) & (own != block))
+                        x, x_ids = unpacked(m), np.frombuffer(b_ids, dtype="<i8")
+                        if visits is not None:
+                            visits.add(len(of) * len(x))
+                        for part in np.array_split(of, -(-len(of) // 1024) or 1):
+                            if len(part):
+                                held.add(part, ids[part], x_ids, products(q[part], x))
+                yield held.frame(ids)
+
+            found = checkpoint(found.unionByName(blocks.mapInPandas(meet, FOUND)))
     nth = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(nth)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
