@@ -1,8 +1,7 @@
 """The scoring rules as SQL expressions over lower-case columns.
 
 Columns: ``q`` question, ``title``, ``t`` title + abstract + publication types, ``pub`` publication types. The
-expressions use functions that Spark and DuckDB share; where the two differ, ``dialect`` ("spark" or "duck") decides.
-Doubles are written with an exponent, since a plain 1.5 is a decimal in both.
+Doubles are written with an exponent, since a plain 1.5 is a decimal.
 """
 
 from __future__ import annotations
@@ -19,8 +18,9 @@ def has(column: str, terms: list[str] | tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({column}, {quoted(t)})" for t in terms) + ")"
 
 
-def matches(dialect: str, column: str, pattern: str) -> str:
-    return f"regexp_like({column}, r{quoted(pattern)})" if dialect == "spark" else f"regexp_matches({column}, {quoted(pattern)})"
+def matches(column: str, pattern: str) -> str:
+    """Whether the pattern is found; word boundaries are those of Unicode."""
+    return f"regexp_like({column}, r{quoted('(?U)' + pattern)})"
 
 
 def add(*parts: tuple[str, float]) -> str:
@@ -83,8 +83,7 @@ CINV_PHARM = both(no(has("title", L.CINV_NOT_DRUG_TITLE)), either(has("t", L.CIN
 CINV_NONPHARM = has("t", L.CINV_NOT_DRUG)
 
 
-def conflict(dialect: str) -> str:
-    return both(matches(dialect, "t", L.NEGATION), has("t", L.CONFLICT))
+CONFLICT = both(matches("t", L.NEGATION), has("t", L.CONFLICT))
 
 
 #: Tiers in the order they are tried.
@@ -100,6 +99,8 @@ TIERS = [
     ("editorial", 0.6, has("pub", L.EDITORIAL)),
 ]
 TIER = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, _, c in TIERS) + " ELSE 'other' END"
+#: A tier's weight, from the column evidence_tier.
+TIER_SCORES = "CASE evidence_tier " + " ".join(f"WHEN '{k}' THEN {s}e0" for k, s, _ in TIERS) + " ELSE 1.2e0 END"
 TIER_SCORE = "CASE " + " ".join(f"WHEN {c} THEN {s}e0" for _, s, c in TIERS) + " ELSE 1.2e0 END"
 
 TAGS = {k: has("t", v) for k, v in L.TEXT_TAGS.items()} | {
@@ -164,16 +165,16 @@ ENDPOINT_PENALTIES = listed("; ", *[(both(_I[i], c), p) for i, c, _, p in ENDPOI
 MISSING = "missing required exposure/entity term: "
 
 
-def exposure_score(dialect: str) -> str:
+def exposure_score() -> str:
     parts = []
     for terms, pattern in L.EXPOSURES:
-        asked = matches(dialect, "q", pattern)
+        asked = matches("q", pattern)
         parts.append(f"CASE WHEN NOT {asked} THEN 0e0 WHEN {has('title', terms)} THEN 1.5e0 WHEN {has('t', terms)} THEN 0.8e0 ELSE -4e0 END")
     return "(" + " + ".join(parts) + ")"
 
 
-def exposure_penalties(dialect: str) -> str:
-    return listed("; ", *[(both(matches(dialect, "q", p), no(has("t", terms))), MISSING + "/".join(terms[:3])) for terms, p in L.EXPOSURES])
+def exposure_penalties() -> str:
+    return listed("; ", *[(both(matches("q", p), no(has("t", terms))), MISSING + "/".join(terms[:3])) for terms, p in L.EXPOSURES])
 
 
 _ADULT_Q = has("q", ["adult"])

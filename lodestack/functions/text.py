@@ -106,7 +106,7 @@ def entity_groups(q: Column | str, focus: Column) -> Column:
 
 def concept_groups(q: Column | str) -> Column:
     """The prognosis stems as one group when the question asks for a prognosis."""
-    asked = F.lower(text_or_empty(q)).rlike(r"\bprognos(?:is|tic)?\b")
+    asked = F.lower(text_or_empty(q)).rlike(r"(?U)\bprognos(?:is|tic)?\b")
     return F.when(asked, F.array(words(*L.PROGNOSIS_STEMS))).otherwise(F.array().cast("array<array<string>>"))
 
 
@@ -128,7 +128,7 @@ def retrieval_query(q: Column | str) -> Column:
     """A management question with its expansion terms; other questions trimmed."""
     own = F.trim(text_or_empty(q))
     low = F.lower(own)
-    cinv = F.when(low.rlike(L.CINV_PATTERN), words(*L.CINV_EXPANSION)).otherwise(F.array().cast("array<string>"))
+    cinv = F.when(low.rlike("(?U)" + L.CINV_PATTERN), words(*L.CINV_EXPANSION)).otherwise(F.array().cast("array<string>"))
     adds = F.when(any_of(low, L.ADJUNCTIVE_QUERY), words(*L.ADJUNCTIVE_EXPANSION)).otherwise(F.concat(cinv, words(*L.EXPANSION)))
     seen = F.regexp_extract_all(low, F.lit("[a-z0-9]+(?: [a-z0-9]+)*"), 0)
     new = F.array_distinct(F.filter(adds, lambda a: ~F.array_contains(seen, F.lower(a))))

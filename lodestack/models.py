@@ -46,7 +46,7 @@ def overlap_judge(prompts: list[str]) -> list[str]:
     """A stand-in judge: relevance by how many of the question's longer words the paper has."""
     out = []
     for p in prompts:
-        question, _, paper = p.partition("\n\n")
+        question, paper = p.partition("\n\n")[0], p.partition("\nPMID: ")[2]
         asked = {w for w in re.findall(r"[a-z0-9]+", question.lower()) if len(w) > 4} - {"question"}
         held = sum(w in paper.lower() for w in asked)
         out.append(f'{{"relevance": {min(3, held)}, "evidence_type": "other", "reason": "{held} of {len(asked)} words"}}')

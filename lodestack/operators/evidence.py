@@ -12,20 +12,28 @@ from lodestack.functions import text as T
 from lodestack.functions.udfs import ratio
 
 
-def score_sql(dialect: str) -> dict[str, str]:
-    """Output columns of score_paper by their expressions; score and impact are columns."""
-    mechanism, management = rules.INTENTS["mechanism"], rules.INTENTS["clinical_management"]
-    exposure, tier = rules.exposure_score(dialect), rules.TIER
-    direct = (
-        f"{rules.TIER_SCORE} + {exposure} + {rules.ENDPOINT_SCORE} + {rules.POPULATION_SCORE} + least(coalesce(score, 0e0), 2e0) * 0.35e0 + coalesce(impact, 0e0) * 0.25e0"
-        f" + CASE WHEN {management} THEN {rules.CENTRALITY} ELSE 0e0 END - CASE WHEN NOT {mechanism} AND ({tier}) = 'mechanistic' THEN 1.5e0 ELSE 0e0 END - CASE WHEN ({tier}) = 'editorial' THEN 1e0 ELSE 0e0 END"
-    )
-    return {
-        "evidence_score": f"round({direct}, 4)", "evidence_tier": tier, "tier_score": rules.TIER_SCORE, "exposure_score": f"round({exposure}, 4)",
-        "endpoint_score": f"round({rules.ENDPOINT_SCORE}, 4)", "population_score": f"round({rules.POPULATION_SCORE}, 4)", "intervention_tags": rules.TAG_LIST,
-        "management_centrality_score": f"CASE WHEN {management} THEN {rules.CENTRALITY} ELSE 0e0 END", "conflict_signal": rules.conflict(dialect),
-        "penalties": f"concat_ws('; ', nullif({rules.exposure_penalties(dialect)}, ''), nullif({rules.ENDPOINT_PENALTIES}, ''), {rules.POPULATION_PENALTY})", "intents": rules.INTENT_LIST,
-    }
+#: What score_paper adds. Conditions that several of them need are columns of their own first (STEPS), so that none is
+#: written out many times in one expression.
+SCORES = ["evidence_score", "evidence_tier", "tier_score", "exposure_score", "endpoint_score", "population_score", "intervention_tags", "management_centrality_score", "conflict_signal", "penalties", "intents"]
+STEPS = [
+    {"_mech": rules.INTENTS["mechanism"], "_manage": rules.INTENTS["clinical_management"], "evidence_tier": rules.TIER, "_exposure": rules.exposure_score(), "_missing": rules.exposure_penalties()},
+    {"_endpoint": rules.ENDPOINT_SCORE, "_ends": rules.ENDPOINT_PENALTIES},
+    {"_population": rules.POPULATION_SCORE, "_age": rules.POPULATION_PENALTY, "intents": rules.INTENT_LIST, "conflict_signal": rules.CONFLICT},
+    {"_central": rules.CENTRALITY, "intervention_tags": rules.TAG_LIST},
+    {"tier_score": rules.TIER_SCORES, "management_centrality_score": "CASE WHEN _manage THEN _central ELSE 0e0 END"},
+    {
+        "evidence_score": "round(tier_score + _exposure + _endpoint + _population + least(coalesce(score, 0e0), 2e0) * 0.35e0 + coalesce(impact, 0e0) * 0.25e0 + management_centrality_score"
+        " - CASE WHEN NOT _mech AND evidence_tier = 'mechanistic' THEN 1.5e0 ELSE 0e0 END - CASE WHEN evidence_tier = 'editorial' THEN 1e0 ELSE 0e0 END, 4)",
+        "exposure_score": "round(_exposure, 4)", "endpoint_score": "round(_endpoint, 4)", "population_score": "round(_population, 4)", "penalties": "concat_ws('; ', nullif(_missing, ''), nullif(_ends, ''), _age)",
+    },
+]
+
+
+def with_scores(pairs: DataFrame) -> DataFrame:
+    out = T.with_rule_columns(pairs)
+    for step in STEPS:
+        out = out.withColumns({k: F.expr(v) for k, v in step.items()})
+    return out.drop(*[k for step in STEPS for k in step if k[0] == "_"])
 
 
 def score_paper(pairs: DataFrame) -> DataFrame:
@@ -33,8 +41,7 @@ def score_paper(pairs: DataFrame) -> DataFrame:
 
     List results (tags, penalties, intents) are joined strings. Null texts count as empty, null scores as 0.
     """
-    out = T.with_rule_columns(pairs).withColumns({k: F.expr(v) for k, v in score_sql("spark").items()})
-    return out.withColumn("title", F.col("raw_title")).drop("raw_title")
+    return with_scores(pairs).withColumn("title", F.col("raw_title")).drop("raw_title")
 
 
 #: Flags that the selection needs besides score_paper's columns.
@@ -135,7 +142,7 @@ def select_evidence(pairs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     Papers come in the order of the column ``rank``, which breaks ties of the evidence score. Each question's few
     dozen candidates are one grouped map, since every choice depends on those before it. max_selected 0 gives none.
     """
-    ready = T.with_rule_columns(pairs).withColumns({k: F.expr(v) for k, v in (score_sql("spark") | FLAGS).items()})
+    ready = with_scores(pairs).withColumns({k: F.expr(v) for k, v in FLAGS.items()})
     ready = ready.withColumn("title", F.col("raw_title")).withColumn("_norm", T.norm_title("raw_title"))
     out = ["question_id", "pmid", "evidence_score", "evidence_tier", "intervention_tags", "penalties", "conflict_signal", "intents"]
     ready = ready.select(*out, "rank", "_norm", *FLAGS)

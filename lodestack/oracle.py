@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from lodestack.functions import lexicon as L
-from lodestack.functions import rules, scoring
-from lodestack.operators import evidence
-from lodestack.plans.fixtures import with_views
+from lodestack.oracle_rules import BOOST, CLINICAL_Q, CLINICALISH, FINAL, IMPACT, RATE, RECENCY, RULES, any_in
+from lodestack.plans.fixtures import VIEWS, with_views
 from lodestack.queries import REPLIES
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(RULES)
 
 
 def words(terms) -> str:
-    return "[" + ", ".join(rules.quoted(t) for t in terms) + "]"
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in terms) + "]"
 
 
 def tok(x: str) -> str:
@@ -51,20 +50,6 @@ def bare(x: str) -> str:
     return ids(rf"regexp_replace({x}, '\[[^\]]*\]', chr(10), 'g')")
 
 
-RULED = f"""{with_views('papers', 'probes')}, pairs AS (
-  SELECT DISTINCT p.*, question_id, question, (p.pmid % 100) / 100e0 AS score, (p.pmid % 7) / 7e0 AS impact,
-    lower(question) AS q, lower(coalesce(title, '')) AS low_title
-  FROM papers p JOIN probes ON question_id IN (p.pmid % 11, (p.pmid * 7 + 3) % 11)
-), r AS (
-  SELECT pmid, question_id, q, low_title AS title, score, impact, lower(coalesce(pubtypes, '')) AS pub,
-    lower(coalesce(title, '') || ' ' || coalesce(abstract, '') || ' ' || coalesce(pubtypes, '')) AS t FROM pairs
-) """
-
-
-def ruled(**exprs: str) -> str:
-    return RULED + "SELECT question_id, pmid, " + ", ".join(f"{e} AS {k}" for k, e in exprs.items()) + " FROM r"
-
-
 INDEX = f"""idx AS (
   SELECT term, id, count(*) AS tf FROM (SELECT pmid AS id, unnest({tok("concat_ws(' ', coalesce(title, ''), coalesce(abstract, ''))")}) AS term FROM papers) GROUP BY ALL
 ), ds AS (
@@ -97,13 +82,13 @@ RANKED = FUSED + f""", cand AS (
     lower(coalesce(pubtypes, '') || ' ' || coalesce(title, '')) AS ev, {terms_of('question')} AS terms, {focus_of('question')} AS focus, {anchors_of('question')} AS anchors, lower(question) AS q
   FROM rel JOIN papers USING (pmid) JOIN questions USING (question_id) LEFT JOIN citations USING (pmid)
 ), m AS (
-  SELECT *, {rules.CLINICAL_Q} AS clinical, len(list_filter(terms, lambda t: contains(body, t))) AS overlap, len(list_filter(focus, lambda t: contains(body, t))) AS focus_overlap,
+  SELECT *, {CLINICAL_Q} AS clinical, len(list_filter(terms, lambda t: contains(body, t))) AS overlap, len(list_filter(focus, lambda t: contains(body, t))) AS focus_overlap,
     len(list_filter(anchors, lambda t: contains(body, t))) AS anchor, len(list_filter(anchors, lambda t: contains(low_title, t))) AS title_anchor,
     0 AS entity, 0 AS concept, 0 AS title_entity, 0 AS title_concept FROM cand
 ), kept AS (
   SELECT * FROM m WHERE length(body) >= 40 AND anchor >= least(len(anchors), 2) AND NOT (len(focus) > 0 AND focus_overlap = 0 AND rel < 0.65e0) AND NOT (len(terms) > 0 AND overlap < 1 AND rel < 0.55e0)
-), sc AS (SELECT *, {scoring.impact()} AS impact, {scoring.boost()} AS boost FROM kept),
-ranked AS (SELECT question_id, pmid, round({scoring.final_score()}, 6) AS score, first_seen FROM sc) """
+), sc AS (SELECT *, {IMPACT} AS impact, {BOOST} AS boost FROM kept),
+ranked AS (SELECT question_id, pmid, round({FINAL}, 6) AS score, first_seen FROM sc) """
 
 SQL["tokenize_docs"] = f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, t[1] AS first_token FROM (SELECT doc_id, {tok('text')} AS t FROM documents)"
 SQL["query_terms"] = f"""{with_views('probes', 'questions')} SELECT question_id, array_to_string({terms_of('question')}, ' ') AS terms, array_to_string({anchors_of('question')}, ' ') AS anchors,
@@ -134,20 +119,11 @@ SQL["rrf_fuse"] = FUSED + "SELECT question_id, pmid, fused FROM fused"
 SQL["rel_normalize"] = FUSED + "SELECT question_id, pmid, rel FROM rel"
 SQL["candidate_filter"] = RANKED + "SELECT question_id, pmid FROM ranked"
 SQL["final_rank"] = RANKED + "SELECT question_id, pmid, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, first_seen) AS INT) AS rank FROM ranked"
-SQL["recency_score"] = f"{with_views('papers')} SELECT pmid, round({scoring.recency()}, 6) AS recency FROM papers"
-SQL["citation_rate"] = f"{with_views('papers', 'citations')} SELECT pmid, round({scoring.citation_rate()}, 6) AS rate FROM papers LEFT JOIN citations USING (pmid)"
-SQL["impact_score"] = f"{with_views('papers', 'citations')} SELECT pmid, round({scoring.impact()}, 6) AS impact FROM papers LEFT JOIN citations USING (pmid)"
-SQL["evidence_boost"] = f"""{with_views('papers')} SELECT pmid, round({scoring.boost()}, 6) AS boost, {rules.CLINICALISH} AS clinicalish
+SQL["recency_score"] = f"{with_views('papers')} SELECT pmid, round({RECENCY}, 6) AS recency FROM papers"
+SQL["citation_rate"] = f"{with_views('papers', 'citations')} SELECT pmid, round({RATE}, 6) AS rate FROM papers LEFT JOIN citations USING (pmid)"
+SQL["impact_score"] = f"{with_views('papers', 'citations')} SELECT pmid, round({IMPACT}, 6) AS impact FROM papers LEFT JOIN citations USING (pmid)"
+SQL["evidence_boost"] = f"""{with_views('papers')} SELECT pmid, round({BOOST}, 6) AS boost, {CLINICALISH} AS clinicalish
 FROM (SELECT pmid, pmid % 2 = 0 AS clinical, lower(coalesce(pubtypes, '') || ' ' || coalesce(title, '')) AS ev FROM papers)"""
-SQL["infer_intent"] = f"{with_views('probes')} SELECT question_id, {rules.INTENT_LIST} AS intents, {rules.ADJUNCTIVE_Q} AS adjunctive, {rules.BEHAVIORAL_Q} AS behavioral, {rules.CLINICAL_Q} AS clinical FROM (SELECT *, lower(question) AS q FROM probes)"
-SQL["evidence_tier"] = ruled(tier=rules.TIER, tier_score=rules.TIER_SCORE)
-SQL["intervention_tags"] = ruled(tags=rules.TAG_LIST)
-SQL["endpoint_score"] = ruled(endpoint=f"round({rules.ENDPOINT_SCORE}, 4)", penalties=rules.ENDPOINT_PENALTIES)
-SQL["exposure_score"] = ruled(exposure=f"round({rules.exposure_score('duck')}, 4)", penalties=rules.exposure_penalties("duck"))
-SQL["population_score"] = ruled(population=f"round({rules.POPULATION_SCORE}, 4)", penalty=rules.POPULATION_PENALTY)
-SQL["centrality"] = ruled(centrality=rules.CENTRALITY)
-SQL["signals"] = ruled(conflict=rules.conflict("duck"), animal=rules.ANIMAL_ONLY, safety=rules.SAFETY, narrow=rules.NARROW, cinv_drug=rules.CINV_PHARM, cinv_other=rules.CINV_NONPHARM)
-SQL["score_paper"] = ruled(**evidence.score_sql("duck"))
 SQL["exact_title_dedup"] = f"""{with_views('papers')}, n AS (SELECT pmid, pmid % 5 AS question_id, array_to_string({tok('title')}, ' ') AS norm, abstract FROM papers)
 SELECT question_id, min(pmid) AS pmid FROM n WHERE NOT (length(norm) = 0 OR (length(norm) < 8 AND length(trim(coalesce(abstract, ''))) < 40)) GROUP BY question_id, norm"""
 SQL["title_classes"] = f"""{with_views('papers')}, s AS (SELECT pmid, list_sort(list_distinct(list_filter({tok('title')}, lambda t: len(t) > 2))) AS k FROM papers)
@@ -156,7 +132,7 @@ SQL["title_jaccard_pairs"] = f"""{with_views('papers')}, s AS (SELECT min(pmid)
 SELECT a, b, j AS jaccard FROM (SELECT x.pmid AS a, y.pmid AS b, round(len(list_intersect(x.k, y.k)) / (len(x.k) + len(y.k) - len(list_intersect(x.k, y.k))), 6) AS j
   FROM s x JOIN s y ON x.pmid < y.pmid AND len(x.k) > 0 AND len(y.k) > 0) WHERE j >= 0.8"""
 SQL["balanced_context"] = f"""{with_views('papers')}, p AS (SELECT pmid, pmid % 11 AS question_id, pmid % 11 < 5 AS clinical, lower(coalesce(pubtypes, '') || ' ' || coalesce(title, '')) AS ev FROM papers),
-g AS (SELECT *, CASE WHEN {rules.CLINICALISH} THEN 0 ELSE 1 END AS g FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY question_id, g ORDER BY pmid) AS nth FROM g),
+g AS (SELECT *, CASE WHEN {CLINICALISH} THEN 0 ELSE 1 END AS g FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY question_id, g ORDER BY pmid) AS nth FROM g),
 f AS (SELECT *, CASE WHEN nth <= CASE WHEN g = 0 THEN CASE WHEN clinical THEN 7 ELSE 5 END ELSE CASE WHEN clinical THEN 3 ELSE 5 END END THEN g ELSE 2 END AS phase FROM n)
 SELECT question_id, pmid, context_pos, CASE WHEN g = 0 THEN 'clinical/review' ELSE 'mechanistic/other' END AS context_group
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY phase, pmid) AS INT) AS context_pos FROM f) WHERE context_pos <= 10"""
@@ -180,12 +156,12 @@ SQL["rank_moves"] = with_views("judged") + _RUNS + """SELECT * FROM (SELECT *, o
 SQL["set_overlap"] = with_views("judged") + _RUNS + "SELECT CASE WHEN old_pos IS NULL THEN 'added' WHEN new_pos IS NULL THEN 'removed' ELSE 'kept' END AS side, count(*) AS n, CAST(sum(pmid) AS BIGINT) AS ids FROM x GROUP BY 1"
 SQL["run_summary"] = with_views("judged", "papers") + _RUNS + f""", p AS (SELECT *, lower(coalesce(pubtypes, '') || ' ' || coalesce(title, '')) AS ev FROM papers)
 SELECT question_id, count(*) AS n_results, count(DISTINCT nullif(journal, '')) AS n_journals, min(nullif(year, 0)) AS first_year, max(nullif(year, 0)) AS last_year,
-  count(*) FILTER ({rules.CLINICALISH}) AS clinical_review, count(*) FILTER (NOT {rules.CLINICALISH}) AS mechanistic_other FROM n JOIN p USING (pmid) GROUP BY question_id"""
+  count(*) FILTER ({CLINICALISH}) AS clinical_review, count(*) FILTER (NOT {CLINICALISH}) AS mechanistic_other FROM n JOIN p USING (pmid) GROUP BY question_id"""
 _low = "(' ' || replace(lower(answer), chr(10), ' ') || ' ')"
 _basis = r"regexp_matches(answer, '(?im)^(#{1,6}[ \t]+evidence basis[ \t]*|evidence basis:[ \t]*)$')"
 _flags = f"""concat_ws('; ', CASE WHEN starts_with(lower(trim(regexp_extract(answer, '(?is)(?:^|\\n)##[ \\t]+short answer[ \\t]*(?:\\n|$)(.*?)(?:\\n##[ \\t]|$)', 1))), 'yes') AND contains({_low}, 'observ')
   THEN 'short-answer starts with yes despite observational language' END, """ + ", ".join(f"CASE WHEN contains({_low}, ' {w} ') THEN 'causal term:{w}' END" for w in L.CAUSAL) + f""",
-  CASE WHEN NOT {rules.has(_low, L.QUALIFYING)} THEN 'no obvious evidence qualifier' END, CASE WHEN NOT {_basis} THEN 'missing Evidence basis section' END)"""
+  CASE WHEN NOT {any_in(_low, L.QUALIFYING)} THEN 'no obvious evidence qualifier' END, CASE WHEN NOT {_basis} THEN 'missing Evidence basis section' END)"""
 SQL["answer_flags"] = _ANS + f"SELECT answer_id, {_flags} AS flags FROM a"
 _metrics = {
     "validation_or_format_warnings": "(contains(answer, 'not in [PMID] citation format') AND contains(answer, 'WARNING')) OR contains(answer, 'cited PMIDs not in the retrieved')",
@@ -195,7 +171,7 @@ _metrics = {
 SQL["compare_answers_agg"] = _ANS + "SELECT metric, old_value, new_value, new_value - old_value AS delta FROM (" + " UNION ALL ".join(
     f"SELECT '{m}' AS metric, count(*) FILTER (conv_id % 2 = 0 AND ({c})) AS old_value, count(*) FILTER (conv_id % 2 = 1 AND ({c})) AS new_value FROM a" for m, c in _metrics.items()
 ) + ")"
-SQL["citation_audit"] = with_views("judged", "papers", "citations") + _RUNS + f""", r AS (SELECT question_id, pmid, pos, citation_count, round({scoring.impact()}, 6) AS impact FROM n JOIN papers USING (pmid) LEFT JOIN citations USING (pmid))
+SQL["citation_audit"] = with_views("judged", "papers", "citations") + _RUNS + f""", r AS (SELECT question_id, pmid, pos, citation_count, round({IMPACT}, 6) AS impact FROM n JOIN papers USING (pmid) LEFT JOIN citations USING (pmid))
 SELECT question_id, count(*) AS papers, round(median(impact), 6) AS median_impact, median(CAST(citation_count AS DOUBLE)) AS median_citations, arg_max(pmid, impact * 1000 - pos / 1e6) AS best_pmid,
   count(*) FILTER (coalesce(citation_count, 0) < 10) AS low_cited, count(*) FILTER (impact < 0.35) AS low_impact FROM r GROUP BY question_id"""
 SQL["upsert_papers"] = with_views("papers") + """ SELECT pmid, CASE WHEN pmid % 3 = 0 THEN 'new ' || title ELSE title END AS title, year FROM papers
@@ -260,7 +236,14 @@ SQL["text_blocks"] = with_views("papers") + f""" SELECT pmid, md5({_HEAD} || chr
   md5('PMID: ' || pmid || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Year: ' || coalesce(CAST(year AS VARCHAR), '') || chr(10) || 'Journal: ' || coalesce(journal, '') || chr(10)
     || 'Publication types: ' || coalesce(pubtypes, '') || chr(10) || 'Abstract: ' || {_cut(6000)}) AS judged, '[' || pmid || '] ' || coalesce(title, '') AS line FROM papers"""
 _ASKED = with_views("judged", "papers", "questions") + _RUNS + ", q AS (SELECT n.question_id, pmid, pos, question, title, abstract, year, journal, pubtypes FROM n JOIN questions USING (question_id) JOIN papers USING (pmid) WHERE question_id < 13) "
-SQL["paper_notes"] = _ASKED + "SELECT question_id, pmid, trim(title) || ' [' || pmid || ']' AS note FROM q"
+SQL["paper_notes"] = _ASKED + "SELECT question_id, pmid, trim(title || ' [' || pmid || ']') AS note FROM q"
 SQL["judged_papers"] = _ASKED + r"""SELECT question_id, pmid, CAST(least(3, len(list_filter(list_filter(list_distinct(regexp_extract_all('question: ' || lower(string_split(question, chr(10) || chr(10))[1]), '[a-z0-9]+')), lambda w: len(w) > 4 AND w <> 'question'),
   lambda w: contains(lower('PMID: ' || pmid || ' title: ' || coalesce(title, '') || ' year: ' || coalesce(CAST(year AS VARCHAR), '') || ' journal: ' || coalesce(journal, '') || ' publication types: ' || coalesce(pubtypes, '') || ' abstract: ' || """ + _cut(6000) + r"""), w)))) AS INT) AS relevance,
   'other' AS evidence_type, NULL::VARCHAR AS error FROM q"""
+SQL["flagged_papers"] = _TITLED.replace("WITH", f"WITH citations AS ({VIEWS['citations']}),", 1) + f""", r AS (SELECT question_id, pmid, pos, citation_count, round({IMPACT}, 6) AS impact FROM n JOIN papers USING (pmid) LEFT JOIN citations USING (pmid))
+SELECT question_id, pmid, impact, row_number() OVER (PARTITION BY question_id ORDER BY impact, pos) AS nth FROM r WHERE coalesce(citation_count, 0) < 10 OR impact < 0.35"""
+SQL["retrieval_query"] = f"""{with_views('probes')}, p AS (SELECT question_id, trim(question) AS own, lower(trim(question)) AS low FROM probes),
+a AS (SELECT *, {any_in('low', L.MANAGEMENT_QUERY)} AS manage, CASE WHEN {any_in('low', L.ADJUNCTIVE_QUERY)} THEN {words(L.ADJUNCTIVE_EXPANSION)}
+  ELSE list_concat(CASE WHEN regexp_matches(low, '(?:^|[^a-z0-9_])(?:chemo|chemotherapy|antineoplastic)(?:[^a-z0-9_]|[^a-z0-9_].*[^a-z0-9_])(?:nausea|vomiting|emesis)(?:$|[^a-z0-9_])')
+    OR regexp_matches(low, '(?:^|[^a-z0-9_])(?:nausea|vomiting|emesis)(?:[^a-z0-9_]|[^a-z0-9_].*[^a-z0-9_])(?:chemo|chemotherapy|antineoplastic)(?:$|[^a-z0-9_])') THEN {words(L.CINV_EXPANSION)} ELSE [] END, {words(L.EXPANSION)}) END AS adds FROM p)
+SELECT question_id, CASE WHEN manage THEN concat_ws(' ', own, array_to_string(list_filter(adds, lambda x: NOT list_contains(regexp_extract_all(low, '[a-z0-9]+(?: [a-z0-9]+)*'), lower(x))), ' ')) ELSE own END AS expanded FROM a"""

@@ -268,15 +268,15 @@ def infer_intent(spark, d):
 rule_query("evidence_tier", tier=rules.TIER, tier_score=rules.TIER_SCORE)
 rule_query("intervention_tags", tags=rules.TAG_LIST)
 rule_query("endpoint_score", endpoint=f"round({rules.ENDPOINT_SCORE}, 4)", penalties=rules.ENDPOINT_PENALTIES)
-rule_query("exposure_score", exposure=f"round({rules.exposure_score('spark')}, 4)", penalties=rules.exposure_penalties("spark"))
+rule_query("exposure_score", exposure=f"round({rules.exposure_score()}, 4)", penalties=rules.exposure_penalties())
 rule_query("population_score", population=f"round({rules.POPULATION_SCORE}, 4)", penalty=rules.POPULATION_PENALTY)
 rule_query("centrality", centrality=rules.CENTRALITY)
-rule_query("signals", conflict=rules.conflict("spark"), animal=rules.ANIMAL_ONLY, safety=rules.SAFETY, narrow=rules.NARROW, cinv_drug=rules.CINV_PHARM, cinv_other=rules.CINV_NONPHARM)
+rule_query("signals", conflict=rules.CONFLICT, animal=rules.ANIMAL_ONLY, safety=rules.SAFETY, narrow=rules.NARROW, cinv_drug=rules.CINV_PHARM, cinv_other=rules.CINV_NONPHARM)
 
 
 @query
 def score_paper(spark, d):
-    return evidence.score_paper(ruled(spark, d)).select("question_id", "pmid", *evidence.score_sql("spark"))
+    return evidence.score_paper(ruled(spark, d)).select("question_id", "pmid", *evidence.SCORES)
 
 
 #: Papers of one block: candidates of a question come in blocks of ids, so a group does not grow with the table.

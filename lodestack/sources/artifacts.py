@@ -157,15 +157,15 @@ def evidence_notes(papers: DataFrame, notes: DataFrame, topic: Column) -> DataFr
 
 
 def decimals(c: Column | str, digits: int = 2) -> Column:
-    """A number as text, null as n/a."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.isNull() | F.isnan(c.cast("double")), "n/a").otherwise(F.format_string(f"%.{digits}f", c.cast("double")))
+    """A number as text, halves to the even digit, null as n/a."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(c.isNull() | F.isnan(c), "n/a").otherwise(F.format_string(f"%.{digits}f", F.bround(c, digits)))
 
 
 def signed(c: Column | str, unit: str = "") -> Column:
     """A difference with its sign and two decimals, null as n/a."""
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.when(c.isNull() | F.isnan(c), "n/a").otherwise(F.concat(F.when(c >= 0, "+").otherwise(""), F.format_string("%.2f", c), F.lit(unit)))
+    return F.when(c.isNull() | F.isnan(c), "n/a").otherwise(F.concat(F.when(c >= 0, "+").otherwise(""), F.format_string("%.2f", F.bround(c, 2)), F.lit(unit)))
 
 
 def excerpt(c: Column | str, chars: int) -> Column:
