@@ -20,13 +20,13 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import small_batches
+from lodestack.llm.common import checkpoint, small_batches
 
 WORDS = re.compile(r"[^\W_]+")
 Q = 8
 RATE = 0.1
 #: Characters of benchmark text in one block of items; larger benchmarks take one pass over the documents a block.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Characters of document text that are searched at once.
 CHUNK = 2_000_000
 
@@ -236,8 +236,9 @@ def spots(text: str, start: int, end: int) -> tuple[int, int]:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each document and benchmark item that it holds: id, item_id, n_edits and the characters start..end.
 
-    At most RATE edits a character of the item count as a match (items too short for the lemma get a smaller budget,
-    those under Q characters must stand there as whole words); of several regions the one with the fewest edits, then
+    At most RATE edits a character of the item count as a match (items too short for the lemma get a smaller budget).
+    Items of Q characters or more also match inside words; shorter ones, which words hold by chance, as whole words
+    only. Of several regions the one with the fewest edits, then
     the first, is returned. Null, empty and wordless texts and items match nothing. Repeated rows each give their rows.
     """
     small_batches(docs.sparkSession)
@@ -255,7 +256,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_edits", "start", "end"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         part = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInPandas(search, "doc_id long, item_id long, n_edits long, start long, end long")
-        out = part if out is None else out.unionByName(part)
+        out = part if out is None else checkpoint(out).unionByName(part)  # a worker holds one block's index at a time
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_edits long, start long, end long")
     return out.withColumnRenamed("doc_id", id_col)
@@ -264,7 +265,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """docs without the documents that hold a benchmark item (see :func:`contamination`)."""
     small_batches(docs.sparkSession)
-    for index in item_blocks(benchmark, block=block):
+    for n, index in enumerate(item_blocks(benchmark, block=block)):
+        docs = checkpoint(docs) if n else docs  # a worker holds one block's index at a time
         docs = docs.filter(~holder(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
     return docs
 

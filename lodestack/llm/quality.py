@@ -237,6 +237,8 @@ def with_score(docs: DataFrame, model: Chain, text_col: str = "text", out: str =
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Quality of all documents, learnt from the labels outside the held-out third."""
+    """Quality of all documents, learnt from the labels outside the held-out third. A null or empty text is one empty
+    line and has a score; rows of equal text score alike, and every repeated row has its own; a null id counts as the
+    empty text in the fold; an empty table gives no rows. Ties of the training sample go to the smaller id."""
     scored = with_score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -20,8 +20,8 @@ from lodestack.llm.common import HOT_KEYS, HOT_LEAST, checkpoint
 HELD = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 # Query parameters that only track where a visitor came from.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid|sid)"
-#: Runs of time that a hot URL is cut into.
-RUNS = 256
+#: Runs of time that a hot URL is cut into, and rows up to which what they carry over is broadcast.
+RUNS, FEW = 256, 10_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -87,10 +87,11 @@ def resolve(captures: DataFrame) -> DataFrame:
     runs = rows.filter("hot").select("canonical", "run").distinct()
     back = Window.partitionBy("canonical").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     carried = runs.join(last, ["canonical", "run"], "left").withColumn("carried", F.last("base", ignorenulls=True).over(back)).select("canonical", "run", "carried")
-    carried = checkpoint(carried.filter("carried is not null"))  # at most HOT_KEYS * RUNS rows
+    carried = checkpoint(carried.filter("carried is not null"))  # at most HOT_KEYS * RUNS rows, each with its headers
+    carried = F.broadcast(carried) if carried.count() <= FEW else carried
     before = Window.partitionBy("canonical", "run", "spread").orderBy(F.col("at"), F.col("full"), F.col("record_id")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_base", F.last(F.when(F.col("full") & F.col("at").isNotNull(), base), ignorenulls=True).over(before))
-    met = rows.join(F.broadcast(carried), ["canonical", "run"], "left")
+    met = rows.join(carried, ["canonical", "run"], "left")
     base = F.when(F.col("canonical").isNotNull() & F.col("at").isNotNull(), F.coalesce("_base", "carried"))
     met = met.withColumn("base", base).withColumn("etag", strong(header("etag"))).withColumn("modified", header("last-modified"))
     agrees = F.when(F.col("etag").isNotNull(), F.col("etag") == F.col("base.etag")).when(F.col("modified").isNotNull(), F.col("modified") == F.col("base.modified"))

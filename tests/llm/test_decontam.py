@@ -78,3 +78,35 @@ def test_odd_rows(spark):
 def test_normal_forms():
     assert decontam.normal("A,  b\tİç_9!") == "a b " + decontam.lowered("İ") + "ç 9"
     assert decontam.grams(np.zeros(3, dtype=np.uint8)).size == 0
+
+
+def test_whole_table_with_edits_against_plain_alignment(spark, sf_dir):
+    """Damaged items put into documents of the table: every document against every item by an alignment without filter."""
+    rng = random.Random(11)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars < 1500").collect()}
+    items = {r.item_id: decontam.normal(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    items = {k: t for k, t in items.items() if len(t) >= decontam.Q}
+    for n, d in enumerate(sorted(docs)):
+        if n % 2:
+            k = rng.choice(sorted(items))
+            own, at = damaged(rng, items[k], int(len(items[k]) * rng.choice([0.02, 0.06, 0.09, 0.12, 0.2]))), docs[d].find(" ") + 1
+            docs[d] = f"{docs[d][:at]}{own} {docs[d][at:]}"
+
+    def fewest(item, text, most):
+        """edits_anywhere in whole rows of numpy, given up above ``most``."""
+        t, far = np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), np.arange(len(text) + 1)
+        row = np.zeros(len(t) + 1, dtype=np.int64)
+        for i, c in enumerate(item, 1):
+            new = np.minimum(row[1:] + 1, row[:-1] + (t != ord(c)))
+            row = np.minimum.accumulate(np.concatenate(([i], new)) - far) + far
+            if row.min() > most:
+                return most + 1
+        return int(row.min())
+
+    index = decontam.Index(list(items), list(items.values()))
+    budget = dict(zip(items, index.budget.tolist(), strict=True))
+    df = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string").withColumns({"item_id": decontam.F.lit("x"), "n_edits": decontam.F.lit(1)})
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("doc_id", decontam.F.lit(7))
+    got = {(r.doc_id, r.item_id): r.n_edits for r in decontam.op3(df, bench).collect()}
+    want = {(d, k): e for d, t in docs.items() for k, item in items.items() if (e := fewest(item, decontam.normal(t), budget[k])) <= budget[k]}
+    assert {p: e for p, e in got.items() if p[1] in items} == want and sum(e > 0 for e in want.values()) > 10

@@ -51,3 +51,34 @@ def test_odd_rows(spark):
     assert len(got) == 5 and len({r.score for r in got if r.doc_id == 1}) == 1
     assert {r.score for r in quality.op5(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.op5(docs.limit(0), labels).count() == 0
+
+
+def test_whole_table_against_plain_forward_backward(spark, sf_dir):
+    """Every document again, line by line with scalar sums, from the fitted weights."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.op5(docs, labels).collect()}
+    for r in docs.collect():
+        lines = (r.text or "").split("\n")
+        own = [quality.line_features([x])[0] for x in lines]
+        zero = np.zeros(quality.OWN)
+        score = [float(np.concatenate([own[i], own[i - 1] if i else zero, own[i + 1] if i + 1 < len(own) else zero]) @ model.emit) for i in range(len(own))]
+        move = np.exp(model.move)
+        ahead, back = [np.array([1.0, np.exp(score[0])])], [np.ones(2)]
+        for s in score[1:]:
+            a = ahead[-1] @ move * np.array([1.0, np.exp(s)])
+            ahead.append(a / a.sum())
+        for s in score[:0:-1]:
+            b = move @ (np.array([1.0, np.exp(s)]) * back[-1])
+            back.append(b / b.sum())
+        good = [a[1] * b[1] / (a @ b) for a, b in zip(ahead, back[::-1], strict=True)]
+        weight = np.array([len(x) + 1.0 for x in lines])
+        mean = np.clip((np.array(good) * weight).sum() / weight.sum(), 1e-6, 1 - 1e-6)
+        z = model.scale[0] * np.log(mean / (1 - mean)) + model.scale[1]
+        assert np.isclose(got[r.doc_id], 1 / (1 + np.exp(-z)), atol=1e-6), r.doc_id
+
+
+def test_further_columns_do_not_matter(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    more = docs.withColumns({"quality": quality.F.lit(1), "score": quality.F.lit("x"), "held_out": quality.F.lit(None)})
+    assert sorted(quality.op5(more, labels.withColumn("text", quality.F.lit("y"))).collect()) == sorted(quality.op5(docs, labels).collect())

@@ -42,3 +42,19 @@ def test_urls_and_empty_table(spark):
     got = [r.c for r in spark.createDataFrame([(u,) for u in urls], "u string").select(revisits.canonical_url(revisits.F.col("u")).alias("c")).collect()]
     assert got == ["a.com/x/y?a=2&b=1", "a.com/x/y?a=2&b=1", "a.com", "a.com", None]
     assert revisits.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_rows_long_values_and_further_columns(spark):
+    url = "http://a.com/" + "x" * 50_000
+    rows = [(1, url, 1, 200, "d", [("ETag", "t" * 100_000)])] * 3 + [(2, url, 5, 304, None, [("etag", "t" * 100_000), ("Date", "now")])] * 2 + [(3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"canonical": revisits.F.lit("x"), "base_id": revisits.F.lit(9), "run": revisits.F.lit("y"), "full": revisits.F.lit(0)})
+    got = sorted((r.record_id, r.outcome, r.base_id, r.body_digest, len(r.headers)) for r in revisits.resolve(df).collect())
+    assert got == [(1, "full", 1, "d", 1)] * 3 + [(2, "resolved", 1, "d", 2)] * 2 + [(3, "other", None, None, 0)]
+
+
+def test_carried_rows_that_are_too_many_to_broadcast(spark, monkeypatch):
+    rows = [(i, "http://hot.com/", i, 200 if i % 7 == 0 else 304, f"d{i}", [("ETag", "a")]) for i in range(1000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(str, revisits.resolve(df).collect()))
+    monkeypatch.setattr(revisits, "FEW", 0)
+    assert sorted(map(str, revisits.resolve(df).collect())) == whole
