@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack import models
 from lodestack.config import Settings
 from lodestack.functions import stem
 from lodestack.operators import context, dense, evidence, index
@@ -164,6 +165,17 @@ def test_stream_upserts(spark, tmp_path):
     assert sorted((r.pmid, r.title) for r in spark.read.parquet(f"{tmp_path}/table/v=1").collect()) == [(1, "a"), (2, "new"), (3, "c")]
 
 
+def test_stream_encodes_and_forgets(spark, tmp_path):
+    rec = lambda *rows: spark.createDataFrame([(i, t, a, None, None, "", "", 0) for i, t, a in rows], R.PAPER)
+    for n, rows in enumerate(([(1, "a", "text one"), (2, "b", "")], [(1, "new", "text two"), (3, "c", "text")], [(4, "d", "more")], [(5, "e", "over")])):
+        rec(*rows).coalesce(1).write.parquet(f"{tmp_path}/in/x{n}")
+        ingest(spark, f"{tmp_path}/in/*", f"{tmp_path}/table", f"{tmp_path}/check", lambda: models.hashed_vectors, limit=3).awaitTermination(60)
+    assert sorted(p.name for p in (tmp_path / "table").glob("v=*")) == ["v=2", "v=3"]
+    assert sorted((r.pmid, r.title) for r in spark.read.parquet(f"{tmp_path}/table/v=3").collect()) == [(1, "new"), (3, "c"), (4, "d")]
+    vectors = spark.read.parquet(f"{tmp_path}/table/vectors")
+    assert sorted((r.b, r.pmid) for r in vectors.collect()) == [(0, 1), (1, 1), (1, 3), (2, 4)]
+
+
 def test_registered_walks_see_every_paper(spark, sf_dir, monkeypatch):
     from lodestack import queries
 
