@@ -20,16 +20,22 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+# What stays as it is, and the forms in which a known id is put into brackets.
+CITED = r"\[[^\]]*\]"
+FORMS = (r"\(\s*(?:PMID\s*:?\s*)?({ids})\s*\)", r"\bPMID\s*:?\s*({ids})\b", r"(?<![\d\[])\b({ids})\b(?![\d\]])")
+
+
 def bracket_ids(text: str | None, valid: list[int]) -> str:
-    """Bare or parenthesised ids of ``valid`` outside square brackets put into brackets."""
-    if not text:
-        return ""
-    pieces = re.split(r"(\[[^\]]*\])", text)
-    for i in range(0, len(pieces), 2):
-        for s in sorted({str(int(v)) for v in valid}, key=lambda v: (-len(v), v)):
-            for form in (rf"(?i)\(\s*(?:PMID\s*:?\s*)?{s}\s*\)", rf"(?i)\bPMID\s*:?\s*{s}\b", rf"(?<![\d\[])\b{s}\b(?![\d\]])"):
-                pieces[i] = re.sub(form, f"[{s}]", pieces[i])
-    return "".join(pieces)
+    """Bare or parenthesised ids of ``valid`` outside square brackets put into brackets, in one pass over the text."""
+    known = sorted({str(int(v)) for v in valid}, key=lambda v: (-len(v), v))
+    if not text or not known:
+        return text or ""
+    forms = "|".join([CITED, *FORMS]).replace("{ids}", "|".join(known))
+
+    def put(m: re.Match) -> str:
+        return f"[{m[m.lastindex]}]" if m.lastindex else m[0]
+
+    return re.sub(forms, put, text, flags=re.IGNORECASE)
 
 
 @F.pandas_udf(StringType())

@@ -115,6 +115,7 @@ def cut(c: Column | str, chars: int) -> Column:
     return F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit(CUT))).otherwise(text)
 
 
+# Fixed formats: the text blocks of a paper, which prompts and readers of answers rely on.
 def paper_head() -> Column:
     """Id, year, journal, publication types and title, as every text block of a paper begins."""
     year = F.coalesce(F.nullif("year", F.lit(0)).cast("string"), F.lit("?"))
