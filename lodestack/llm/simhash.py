@@ -177,12 +177,43 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return out
 
 
+def prefixes(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rarest shingles of every text of ``open_`` (node, root): shingle, node, n (shingles of the text) and place.
+
+    Shingles are ordered from the rarest on, and sets of a Jaccard similarity of ``least`` or more share one of their
+    first n - ceil(least n) + 1. Shingles of one text only are counted but left out. So what very many texts share, a
+    passage or a template, is in no prefix, and a text of many shingles of its own has none.
+    """
+    held = open_.select("node").distinct().join(sets, "node")
+    each = checkpoint(held.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle")))
+    times = checkpoint(each.groupBy("shingle").agg(F.count("*").alias("times")).withColumn("t", F.col("times")))
+    met = hot_lookup(each, times, "shingle", "times", each.count())
+    place = F.row_number().over(Window.partitionBy("node").orderBy("t", "shingle"))
+    reach = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    out = checkpoint(met.withColumn("place", place).filter((F.col("place") <= reach) & (F.col("t") > 1)).drop("t"))
+    drop(each, times)
+    return out
+
+
+def prefix_pairs(first: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b) of different roots that share a shingle of ``first`` (see :func:`prefixes`, with root): every
+    pair whose sets have a Jaccard similarity of ``least`` or more, and few others. At the first shingle that a pair
+    shares, what is left of either must be enough for the overlap that the similarity asks for."""
+    side = lambda k: first.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "place")])
+    overlap = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    enough = overlap * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    close = (F.col("root_a") != F.col("root_b")) & smaller & (F.col("n_a") >= least * F.col("n_b") - 1e-9)
+    return side("a").join(side("b"), "shingle").filter(close & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def band_links(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between texts of similarity ``least`` or more that share a band. bands: band, key, node.
 
     In each of the LEADING rounds a band's texts are compared with one of them, another one each round, unless they
-    are connected by then. In what is left, every two texts of a band that are not connected are compared. So any two
-    texts that share a band are compared or connected by verified links.
+    are connected by then. Among the texts of the bands that hold several components still, those pairs are compared
+    that :func:`prefix_pairs` leaves, first of one text for each shingle and component, then of all that are not
+    connected by then. So any two texts of that similarity that share a band are linked or connected.
     """
     def rest(root: DataFrame | None, used: int) -> DataFrame:
         """Rows of the first ``used`` bands of each text that hold several components, with the component."""
@@ -205,10 +236,15 @@ def band_links(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         found = good if found is None else found.unionByName(good)
         root = components(found)
         drop(lead)
-    open_ = rest(root, BANDS)
-    side = lambda k: open_.select("key", F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    pairs = side("a").join(side("b"), "key").filter("root_a < root_b")
-    return found.unionByName(alike(pairs, sets, least))
+    first = prefixes(rest(root, BANDS), sets, least)
+    for one in (True, False):
+        rows = checkpoint(first.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        if one:
+            head = F.min(F.struct(F.xxhash64("node", "shingle").alias("h"), "node", "n", "place")).alias("x")
+            rows = checkpoint(rows.groupBy("shingle", "root").agg(head).select("shingle", "root", "x.node", "x.n", "x.place"))
+        found = found.unionByName(alike(prefix_pairs(rows, least), sets, least))
+        root = components(found) if one else root
+    return found
 
 
 def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
