@@ -45,11 +45,11 @@ CYCLE = 64
 ROUNDS = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, 64))
 RATE = 0.15
 #: Windows of a gradient step: from FIRST on, growing with the windows that a partition has seen, up to BATCH.
-FIRST, BATCH = 256, 8192
+FIRST, BATCH = 1024, 8192
 #: Tokens scored at once, words a worker remembers, words counted in a worker before the counts are handed on.
 BLOCK, REMEMBERED, COUNTED = 16384, 400_000, 500_000
 #: Most words whose shares are sent to every worker.
-KNOWN = 1 << 19
+KNOWN = 1 << 18
 SHAPES = {"embed": (CLASSES + 1, WIDTH), "w1": (2 * REACH * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLUSTERS), "b2": (CLUSTERS,), "w3": (CLUSTERS, HIDDEN, LEAVES), "b3": (CLUSTERS, LEAVES)}
 #: Weights of one row when copies are averaged.
 ROW = 64
@@ -61,8 +61,21 @@ def word_hash(word: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class Endings(dict):
+    """Number of an ending of two characters."""
+
+    def __missing__(self, end: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[end] = n = zlib.crc32(end.encode("utf-8", "surrogatepass")) % SHARED
+        return n
+
+
+ENDINGS = Endings()
+
+
 def ending(word: str) -> int:
-    return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % SHARED
+    return ENDINGS[word[-2:]]
 
 
 def counted(seen: Counter) -> pd.DataFrame:
@@ -201,11 +214,12 @@ def leaves_of(blobs: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.int16) for b in blobs]
 
 
-def windows(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The leaves of all texts in turn, and the REACH leaves before and after each."""
+def windows(tokens: list[np.ndarray], pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The leaves of all texts in turn, and the REACH leaves before and after each; of those in ``pick``, if given."""
     pad = np.full(REACH, EDGE, dtype=np.int16)
     line = np.concatenate([pad, *[x for t in tokens for x in (t, pad)]])
     at = np.flatnonzero(line != EDGE)
+    at = at if pick is None else at[pick]
     return line[at], np.stack([line[at + d] for d in [*range(-REACH, 0), *range(1, REACH + 1)]], axis=1)
 
 
@@ -257,13 +271,16 @@ class Network:
             h = tables[0][c[:, 0]]
             for k in range(1, 2 * REACH):
                 h += tables[k][c[:, k]]
-            h = np.tanh(h + w["b1"])
-            z = h @ w["w2"] + w["b2"]
+            h += w["b1"]
+            np.tanh(h, out=h)
+            z = h @ w["w2"]
+            z += w["b2"]
             own = z[np.arange(len(t)), t // LEAVES]
             np.exp(z, out=z)
             logs = own - np.log(z.sum(axis=1))
             for k, i, j in stretches:
-                z = h[i:j] @ w["w3"][k] + w["b3"][k]
+                z = h[i:j] @ w["w3"][k]
+                z += w["b3"][k]
                 own = z[np.arange(j - i), t[i:j] % LEAVES]
                 np.exp(z, out=z)
                 logs[i:j] += own - np.log(z.sum(axis=1))
@@ -281,7 +298,7 @@ class Learner:
         """One pass of gradient steps, in order."""
         at = 0
         while at < len(target):
-            n = min(BATCH, max(FIRST, self.seen // 32))
+            n = min(BATCH, max(FIRST, self.seen // 16))
             self.step(target[at : at + n], context[at : at + n])
             at += n
             self.seen += n
@@ -292,13 +309,15 @@ class Learner:
         t, c = target[order], context[order]
         n, lane = len(t), np.arange(len(t))
         e = w["embed"][c].reshape(n, -1)
-        h = np.tanh(e @ w["w1"] + w["b1"])
-        p = softmax(h @ w["w2"] + w["b2"])
+        h = e @ w["w1"]
+        h += w["b1"]
+        np.tanh(h, out=h)
+        p = softmax(h @ w["w2"], w["b2"])
         p[lane, t // LEAVES] -= 1
         dh = p @ w["w2"].T
         grad = {"w2": h.T @ p, "b2": p.sum(axis=0), "w3": np.zeros_like(w["w3"]), "b3": np.zeros_like(w["b3"])}
         for k, i, j in stretches:
-            q = softmax(h[i:j] @ w["w3"][k] + w["b3"][k])
+            q = softmax(h[i:j] @ w["w3"][k], w["b3"][k])
             q[lane[: j - i], t[i:j] % LEAVES] -= 1
             dh[i:j] += q @ w["w3"][k].T
             grad["w3"][k], grad["b3"][k] = h[i:j].T @ q, q.sum(axis=0)
@@ -312,8 +331,9 @@ class Learner:
             w[k] -= self.rate * g / np.sqrt(s)
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
+def softmax(z: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """In place; steps are bounded by the rate, so scores stay far below where exp overflows."""
+    z += offsets
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
@@ -337,13 +357,14 @@ def fit(codes: DataFrame, vocabulary: Vocabulary, rate: float = RATE) -> Network
             own, used, n = None, 0, 0
             for b in batches:
                 if len(b):
-                    target, context = windows(leaves_of(b.leaves))
+                    tokens = leaves_of(b.leaves)
                     if own is None:
                         own = Learner(Network.of(start.value[0]), Network.of(start.value[1]), rate)
-                    pick = picked(n, len(target), round_)
-                    n += len(target)
+                    size = sum(map(len, tokens))
+                    pick = picked(n, size, round_)
+                    n += size
                     own.seen = max(own.seen, n * ROUNDS[round_][0] // CYCLE)
-                    own.train(target[pick], context[pick])
+                    own.train(*windows(tokens, pick))
                     used += len(pick)
             if used:
                 both = np.concatenate([own.network.vector(), own.squares.vector()]) * np.float32(used)
