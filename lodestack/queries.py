@@ -128,7 +128,7 @@ def bm25_strict_topk(spark, d):
 
 @query
 def bm25_stemmed_topk(spark, d):
-    """Over the stemmed index, as the reference's index is."""
+    """Over the stemmed index, for questions and probes."""
     q = view(spark, d, "questions").unionByName(view(spark, d, "probes").withColumn("question_id", -1 - F.col("question_id")))
     return lexical_index(spark, d, True).bm25(plan.question_terms(q, T.query_terms("question")), 100)
 
