@@ -36,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (Jaccard similarity of 0.8 or more on five-word shingles): the smallest id.
-    Null, empty and wordless texts are one group; repeated rows become one (see :func:`simhash.representatives`)."""
+    Texts are compared within the SimHash classes of op10's method, then within MinHash bands for what these leave. Null, empty and wordless texts are one group; repeated rows become one (see :func:`simhash.representatives`)."""
     return simhash.representatives(docs.select(COLUMNS), words=5)
 
 

@@ -7,6 +7,9 @@ one-wildcard variants of the first; an equality join meets those that share a ke
 
 Each key also carries a piece of the other segment that has to agree (one third of it where up to two bits may
 differ there, one half where exactly one may), so a segment that very many texts share does not become one bucket.
+
+Texts of a wanted Jaccard similarity are found by :func:`representatives`: the classes of this method are compared
+first, then bands of MinHashes, for pairs of that similarity whose fingerprints are further apart.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from lodestack.llm.common import checkpoint, components, drop, hot_lookup, small
 
 #: Shingles whose bits are held at once.
 CHUNK = 1 << 15
-#: MinHash bands of a text and minima in each. Texts of similarity s share no band with probability
+#: MinHash bands of a text, numbered from 1 on, and minima in each. Band 0 is the class of its SimHash. Texts of similarity s share no band with probability
 #: (1 - s ** ROWS) ** BANDS: 2e-4 at 0.8, 7e-6 at 0.85.
 BANDS, ROWS = 16, 4
-#: Bands used in the rounds in which a band's texts meet only one of them, before the rest meet each other.
-LEADING = (3, BANDS)
+#: Bands used in the rounds in which a band's texts meet only one of them, before the rest meet each other: the SimHash
+#: classes by themselves, then with bands of MinHashes.
+LEADING = (1, 4, 1 + BANDS)
 #: Shingles of a text that may be broadcast with 500 like it.
 WIDE = 20_000
 FACTORS = np.random.default_rng(0).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -126,7 +130,11 @@ def near_duplicates(docs: DataFrame, words: int, id_col: str = "doc_id", text_co
     Null, empty and wordless texts have fingerprint 0 and are linked like any other. Repeated rows each keep their
     row; a null id never is a component's id unless all its ids are null. Other columns are not read.
     """
-    prints = checkpoint(with_fingerprint(docs.select(F.col(id_col), F.col(text_col)), words, text_col).select(id_col, "fp"))
+    return classes(checkpoint(with_fingerprint(docs.select(F.col(id_col), F.col(text_col)), words, text_col).select(id_col, "fp")), id_col)
+
+
+def classes(prints: DataFrame, id_col: str) -> DataFrame:
+    """prints (``id_col``, ``fp``; read more than once) plus ``component_id``; see :func:`near_duplicates`."""
     distinct = checkpoint(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("_n")))
     found = components(links(distinct.select("fp")))
     roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -210,7 +218,7 @@ def prefix_pairs(first: DataFrame, least: float) -> DataFrame:
 def band_links(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between texts of similarity ``least`` or more that share a band. bands: band, key, node.
 
-    In each of the LEADING rounds a band's texts are compared with one of them, another one each round, unless they
+    Band 0 holds the SimHash classes. In each of the LEADING rounds a band's texts are compared with one of them, another one each round, unless they
     are connected by then. Among the texts of the bands that hold several components still, those pairs are compared
     that :func:`prefix_pairs` leaves, first of one text for each shingle and component, then of all that are not
     connected by then. So any two texts of that similarity that share a band are linked or connected.
@@ -236,7 +244,7 @@ def band_links(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         found = good if found is None else found.unionByName(good)
         root = components(found)
         drop(lead)
-    first = prefixes(rest(root, BANDS), sets, least)
+    first = prefixes(rest(root, LEADING[-1]), sets, least)
     for one in (True, False):
         rows = checkpoint(first.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
         if one:
@@ -250,26 +258,28 @@ def band_links(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each near-duplicate group.
 
-    Candidates are texts that share a band of MinHashes over their ``words``-word shingles; they are linked if the
-    Jaccard similarity of the shingle sets is ``least`` or more (see :func:`band_links`). Groups are connected
-    components. The document of the smallest id stays, and of several rows of that id the one of the smallest text hash;
+    Candidates are texts of one SimHash class over their ``words``-word shingles (fingerprints linked at two bits, see
+    :func:`classes`) and, for pairs whose fingerprints are further apart, texts that share a band of MinHashes over
+    the same shingles. They are linked if the Jaccard similarity of the shingle sets is ``least`` or more (see
+    :func:`band_links`). Groups are connected components. The document of the smallest id stays, and of several rows of that id the one of the smallest text hash;
     identical rows become one. Rows with a null id stay only if their group has no other. Null, empty and wordless texts
     are copies of each other. Texts count as equal if their MD5 is. Other columns pass through.
     """
     small_batches(docs.sparkSession)
     md5, nth = unused(docs, "_text"), unused(docs, "_nth")
 
-    @F.pandas_udf("array<long>")
-    def banded(texts: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(shingles(t, words)) for t in texts], dtype=object)
+    @F.pandas_udf("fp long, bands array<long>")
+    def printed(texts: pd.Series) -> pd.DataFrame:
+        hashes = [shingles(t, words) for t in texts]
+        return pd.DataFrame({"fp": pd.Series([folded(h) for h in hashes], dtype="int64"), "bands": pd.Series([band_keys(h) for h in hashes], dtype=object)})
 
     @F.pandas_udf("array<long>")
     def distinct_shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(h).view(np.int64) if len(h) else np.zeros(1, dtype=np.int64) for h in (shingles(t, words) for t in texts)])
 
     own = docs.withColumn(md5, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    made = checkpoint(own.select(F.col(id_col).alias("id"), F.col(md5).alias("md5"), banded(F.col(text_col)).alias("bands")))
-    texts = made.groupBy("md5").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    made = checkpoint(own.select(F.col(id_col).alias("id"), F.col(md5).alias("md5"), printed(F.col(text_col)).alias("made")))
+    texts = made.groupBy("md5").agg(F.min("id").alias("id"), F.first("made.fp").alias("fp"), F.first("made.bands").alias("bands"))
     texts = checkpoint(texts.withColumn("node", F.monotonically_increasing_id()))
     drop(made)
 
@@ -278,9 +288,11 @@ def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
         met = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(md5) == F.col("_md5"))
         return own.join(keys, met, "left_semi" if len(keys.columns) == 2 else "inner")
 
-    each = texts.select("node", F.posexplode("bands").alias("band", "key"))
+    near = checkpoint(classes(texts.select("node", "fp"), "node"))
+    each = texts.select("node", F.posexplode("bands").alias("at", "key")).select("node", (F.col("at") + 1).alias("band"), "key")
+    each = each.unionByName(near.select("node", F.lit(0).alias("band"), F.col("component_id").alias("key")))
     shared = checkpoint(each.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("shared", F.lit(True)))
-    bands = checkpoint(hot_lookup(each, shared, "key", "_n", texts.count() * BANDS).filter("shared").drop("shared"))
+    bands = checkpoint(hot_lookup(each, shared, "key", "_n", texts.count() * (1 + BANDS)).filter("shared").drop("shared"))
     needed = texts.join(bands.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("_id"), F.col("md5").alias("_md5"), F.col("node").alias("_node"))
     sets = rows_of(needed).select("_node", F.col(text_col).alias("text")).dropDuplicates(["_node"])
     sets = checkpoint(sets.select(F.col("_node").alias("node"), distinct_shingles("text").alias("hashes")))
@@ -288,6 +300,6 @@ def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
     rooted = texts.select("node", F.struct(F.col("id").isNull().alias("none"), "id", "md5").alias("k")).join(found, "node", "left")
     best = rooted.filter("root is not null").groupBy("root").agg(F.min("k").alias("k")).select("k")
     keep = checkpoint(rooted.filter("root is null").select("k").unionByName(best).select(F.col("k.id").alias("_id"), F.col("k.md5").alias("_md5")))
-    drop(shared, bands, sets)
+    drop(near, shared, bands, sets)
     first = F.row_number().over(Window.partitionBy(id_col, md5).orderBy(F.lit(1)))
     return rows_of(keep).withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)

@@ -160,3 +160,31 @@ def test_texts_under_the_similarity_stay(spark):
     assert 80 < len(want) < 120
     got = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == want
+
+
+def test_pairs_without_a_common_band_are_found_by_their_fingerprints(spark):
+    """Texts of similarity 0.8 that share no band of MinHashes, but whose SimHashes differ in two bits."""
+    rows = []
+    for n, tail in ((22434, 5), (31044, 3)):
+        base = [f"w{n}x{i}" for i in range(8)] * 40 + [f"w{n}x{i}" for i in range(tail)]
+        rows += [(len(rows) + k, " ".join([*base, last])) for k, last in enumerate(("left", "right"))]
+    for (_, a), (_, b) in (rows[:2], rows[2:]):
+        one, two = simhash.shingles(a, 5), simhash.shingles(b, 5)
+        assert 5 * len(set(one) & set(two)) >= 4 * len(set(one) | set(two))
+        assert not (simhash.band_keys(one) == simhash.band_keys(two)).any()
+        assert ((simhash.folded(one) ^ simhash.folded(two)) & (2**64 - 1)).bit_count() <= 2
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2]
+
+
+def test_one_class_of_unlike_texts(spark):
+    """One passage repeated many times gives all texts one SimHash class; only those of similarity 0.8 are one group."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(9)] * 150
+    rows = []
+    for g in range(20):
+        own = [f"o{rng.randrange(50_000)}" for _ in range(60)]
+        rows += [(3 * g + k, " ".join(passage + own + [f"last{k}"])) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert simhash.near_duplicates(df, 5).select("component_id").distinct().count() == 1
+    assert {r.doc_id for r in simhash.representatives(df).collect()} == {3 * g for g in range(20)}
