@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,6 @@ from pyspark.sql import functions as F
 from lodestack.config import DEFAULT, Settings
 from lodestack.functions import rules, scoring
 from lodestack.functions import text as T
-from lodestack.functions.udfs import ratio
 from lodestack.storage import written
 
 
@@ -98,29 +99,70 @@ def title_jaccard_pairs(df: DataFrame, least: float, id_col: str = "pmid", title
     return met.join(own("a"), "a").join(own("b"), "b").select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
-def greedy_dedup(df: DataFrame, s: Settings = DEFAULT, top_n: int | None = None) -> DataFrame:
+class Kept:
+    """The kept titles of one question, and whether a further one is near one of them."""
+
+    def __init__(self, s: Settings):
+        self.s, self.norms, self.words, self.matchers = s, set(), [], []
+        self.counts, self.sizes = np.zeros((16, len(LETTERS)), np.int16), np.zeros(16, np.int64)
+
+    def near(self, norm: str, own: frozenset, counts: np.ndarray) -> bool:
+        """A title's ratio is at most what the letters that both have allow, so only titles beyond that are aligned."""
+        if norm in self.norms or any(len(own & t) >= self.s.title_jaccard * max(1, len(own | t)) for t in self.words):
+            return True
+        n = len(self.words)
+        both = np.minimum(self.counts[:n], counts).sum(axis=1)
+        for i in np.flatnonzero(2.0 * both >= self.s.title_ratio * (self.sizes[:n] + len(norm)) - 1e-6):
+            m = self.matchers[i]
+            m.set_seq1(norm)
+            if norm and m.b and m.ratio() >= self.s.title_ratio:
+                return True
+        return False
+
+    def add(self, norm: str, own: frozenset, counts: np.ndarray) -> None:
+        n = len(self.words)
+        if n == len(self.sizes):
+            self.counts, self.sizes = np.concatenate([self.counts, self.counts]), np.concatenate([self.sizes, self.sizes])
+        self.counts[n], self.sizes[n] = counts, len(norm)
+        self.norms.add(norm)
+        self.words.append(own)
+        self.matchers.append(SequenceMatcher(None, "", norm))
+
+
+#: What normal titles are made of.
+LETTERS = " 0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def greedy_dedup(df: DataFrame, s: Settings = DEFAULT, top_n: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Walks each question's papers by rank and drops junk and those near a kept title, until top_n * 4 (clinical
-    questions) or * 2 are kept. Adds kept_rank. Needs question_id, rank, clinical, title, abstract. The order matters,
-    so each question (a few hundred candidates at most) is one grouped map."""
+    questions) or * 2 are kept. Adds kept_rank. Needs question_id, rank, clinical, title, abstract; of these, and of what
+    else df has, the columns ``keep`` are handed on (all, if it is not given), and only they go through the walk. The
+    order matters, so each question (a few hundred candidates at most) is one grouped map."""
     top_n = top_n or s.context
-    ready = df.where(~junk()).withColumns({"_norm": T.norm_title("title"), "_tokens": T.title_tokens("title")})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    out = keep or df.columns
+    own = [f"_own_{c}" for c in out]
+    ready = df.where(~junk()).select(
+        F.col("question_id").alias("_question"), F.col("rank").alias("_rank"), F.col("clinical").alias("_clinical"),
+        T.norm_title("title").alias("_norm"), T.title_tokens("title").alias("_tokens"), *[F.col(c).alias(o) for c, o in zip(out, own, strict=True)],
+    )
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in out)
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, str, frozenset]] = []
-        limit = top_n * (4 if len(group) and bool(group.clinical.iloc[0]) else 2)
-        for i, norm, toks in group.sort_values("rank")[["_norm", "_tokens"]].itertuples():
+        held, kept = Kept(s), []
+        limit = top_n * (4 if len(group) and bool(group._clinical.iloc[0]) else 2)
+        ordered = group.sort_values("_rank")
+        for i, norm, toks in zip(ordered.index, ordered["_norm"], ordered["_tokens"], strict=True):
             if len(kept) >= limit:
                 break
-            own = frozenset(toks)
-            near = any(norm == k or len(own & t) >= s.title_jaccard * max(1, len(own | t)) or ratio(norm, k) >= s.title_ratio for _, k, t in kept)
-            if not near:
-                kept.append((i, norm, own))
-        out = group.loc[[i for i, _, _ in kept]].drop(columns=["_norm", "_tokens"])
-        out["kept_rank"] = range(1, len(out) + 1)
-        return out
-
-    return ready.groupBy("question_id").applyInPandas(walk, fields + ", kept_rank int")
+            title = norm, frozenset(toks), np.array([norm.count(c) for c in LETTERS], np.int16)
+            if not held.near(*title):
+                held.add(*title)
+                kept.append(i)
+        chosen = group.loc[kept, own].set_axis(out, axis=1)
+        chosen["kept_rank"] = range(1, len(chosen) + 1)
+        return chosen
+
+    return ready.groupBy("_question").applyInPandas(walk, fields + ", kept_rank int")
 
 
 def balanced_context(df: DataFrame, top_n: int, order: str = "rank", s: Settings = DEFAULT) -> DataFrame:

@@ -317,7 +317,7 @@ def title_classes(spark, d):
 def greedy_dedup(spark, d):
     """All papers; a block has no more of them than may be kept, so each one is compared."""
     p = view(spark, d, "papers").withColumns({"question_id": block(DEDUPED_FROM), "rank": F.col("pmid").cast("int"), "clinical": F.lit(True)})
-    return context.greedy_dedup(p, top_n=20).select("question_id", "pmid", "kept_rank")
+    return context.greedy_dedup(p, top_n=20, keep=["question_id", "pmid"])
 
 
 @query
