@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +16,74 @@ from lodestack.config import DEFAULT, Settings
 from lodestack.functions import stem
 from lodestack.functions import text as T
 from lodestack.operators import dense, lexical
-from lodestack.storage import written
 
 #: Parts that postings are stored in, by the hash of their term.
 BUCKETS = 64
+#: The part with a row for each document, which has no term.
+DOCUMENTS = -1
+
+
+POSTINGS = "term string, id long, tf long, length long, bucket int"
+#: Documents of one Arrow batch of the build; stems that a worker remembers; bytes of a Parquet row group of postings.
+BATCH, STEMS, ROW_GROUP = 1000, 500_000, 8 << 20
+#: Pairs of a document and a question that one task scores, at most, and those that are worth a task of their own.
+PAIRS, LEAST_PAIRS = 2_000_000, 100_000
 
 
 def bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: int) -> Iterator[None]:
+    """The session with these settings (dots as double underscores) for a while."""
+    keys = {k.replace("__", "."): str(v) for k, v in values.items()}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def counted(stemmed: bool):
+    """For mapInArrow: batches of (id, t: tokens) to (term, id, tf, length), in the order of terms within a batch, and a
+    row without a term for each document. Each distinct word of a batch is stemmed once. A document's postings all come
+    from its own row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+
+        def stem_of(word: str) -> str:
+            if word not in known:
+                if len(known) >= STEMS:
+                    known.clear()
+                known[word] = stem.stem(word)
+            return known[word]
+
+        for b in batches:
+            lists, ids = b.column("t"), b.column("id").to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            terms = np.array([stem_of(w) if stemmed else w for w in words.dictionary.to_pylist()], dtype=object)
+            terms, number = np.unique(terms, return_inverse=True)
+            code = number[words.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
+            both, tf = np.unique(code * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
+            at, row = np.divmod(both, len(ids))
+            term = pa.DictionaryArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(terms, pa.string())).dictionary_decode()
+            named = ["term", "id", "tf", "length"]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.string()), pa.array(ids), pa.array(np.zeros(len(ids), np.int64)), pa.array(sizes)], named)
+            yield pa.RecordBatch.from_arrays([term, pa.array(ids[row]), pa.array(tf.astype(np.int64)), pa.array(sizes[row])], named)
+
+    return run
+
+
 @dataclass
 class Lexical:
-    """postings (bucket, term, id, tf), documents (id, length), terms (term, df, cf) and size (n, avg_length: one row)."""
+    """postings (bucket, term, id, tf, length of the document), documents (id, length), terms (term, df, cf) and size (n,
+    avg_length: one row)."""
 
     postings: DataFrame
     documents: DataFrame
@@ -35,27 +94,27 @@ class Lexical:
     @staticmethod
     def build(papers: DataFrame, folder: str, stemmed: bool = True) -> Lexical:
         """Writes the index over title and abstract. stemmed: letters of any script without accents, by their Porter
-        stems; else runs of ASCII letters and digits as they are."""
+        stems; else runs of ASCII letters and digits as they are.
+
+        Every task writes the postings of its documents, with a file a bucket; only the statistics of terms are shuffled."""
         body = F.concat_ws(" ", T.text_or_empty("title"), T.text_or_empty("abstract"))
         tokens = stem.folded_tokens(body) if stemmed else T.tokens(body)
-        rows = papers.select(F.col("pmid").alias("id"), tokens.alias("t"))
-        counted = rows.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-        if stemmed:
-            words = written(counted)  # the vocabulary is stemmed once a word, not once an occurrence
-            vocabulary = lexical.small(words.select("term").distinct().withColumn("stem", stem.stems("term")))
-            counted = words.join(vocabulary, "term").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"))
-        stored = counted.withColumn("bucket", bucket("term")).repartition(BUCKETS, "bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id")
-        stored.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-        rows.select("id", F.size("t").cast("long").alias("length")).write.mode("overwrite").parquet(f"{folder}/documents")
-        spark = papers.sparkSession
-        lexical.term_stats(spark.read.parquet(f"{folder}/postings")).write.mode("overwrite").parquet(f"{folder}/terms")
+        rows, spark = papers.select(F.col("pmid").alias("id"), tokens.alias("t")), papers.sparkSession
+        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH, spark__sql__maxConcurrentOutputFileWriters=4 * BUCKETS):
+            stored = rows.mapInArrow(counted(stemmed), "term string, id long, tf long, length long").withColumn("bucket", F.when(F.col("term").isNull(), DOCUMENTS).otherwise(bucket("term")))
+            stored.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{folder}/postings")
+        written = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+        written.filter(F.col("bucket") == DOCUMENTS).select("id", "length").write.mode("overwrite").parquet(f"{folder}/documents")
+        lexical.term_stats(written.filter(F.col("bucket") != DOCUMENTS)).write.mode("overwrite").parquet(f"{folder}/terms")
         spark.read.parquet(f"{folder}/documents").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length")).write.mode("overwrite").parquet(f"{folder}/size")
         return Lexical.open(spark, folder, stemmed)
 
     @staticmethod
     def open(spark: SparkSession, folder: str, stemmed: bool = True) -> Lexical:
-        schemas = {"postings": "term string, id long, tf long, bucket int", "documents": "id long, length long", "terms": "term string, df long, cf long", "size": "n long, avg_length double"}
-        return Lexical(*(spark.read.schema(s).parquet(f"{folder}/{t}") for t, s in schemas.items()), stemmed)
+        schemas = {"postings": POSTINGS, "documents": "id long, length long", "terms": "term string, df long, cf long", "size": "n long, avg_length double"}
+        held = {t: spark.read.schema(s).parquet(f"{folder}/{t}") for t, s in schemas.items()}
+        held["postings"] = held["postings"].filter(F.col("bucket") != DOCUMENTS)
+        return Lexical(**held, stemmed=stemmed)
 
     def asked(self, terms: DataFrame) -> DataFrame:
         """Distinct (question_id, ..., term, bucket) in the form of the index's terms."""
@@ -76,13 +135,22 @@ class Lexical:
         term); questions with fewer than two groups give nothing."""
         need = groups.groupBy("question_id").agg(F.count_distinct("group_no").alias("need")).filter("need >= 2")
         met = self.weigh(self.asked(groups.join(F.broadcast(need), "question_id")), s)
-        met = met.groupBy("question_id", "pmid", "need").agg(F.round(F.sum("w"), 6).alias("score"), F.count_distinct("group_no").alias("held"))
+        met = met.groupBy("question_id", "pmid").agg(F.round(F.sum("w"), 6).alias("score"), F.size(F.collect_set("group_no")).alias("held"), F.first("need").alias("need"))
         return lexical.top_k(met.filter("held = need").drop("held", "need"), k)
 
     def weigh(self, asked: DataFrame, s: Settings) -> DataFrame:
-        hits = self.terms.join(lexical.small(asked.select("term").distinct()), "term", "left_semi").select("term", "df")
-        buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
-        met = self.postings.filter(F.col("bucket").isin(buckets)).join(asked, ["bucket", "term"]).join(hits, "term").join(self.documents, "id")
+        """A row with the weight ``w`` for each of asked and each paper that holds its term.
+
+        Postings of asked terms are dealt out by paper, once for all questions; they meet the questions only then, so what
+        is grouped by question and paper is not shuffled again. Tasks are as many as pairs of both need.
+        """
+        n, questions, buckets = self.size.first().n, asked.select("question_id").distinct().count(), [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
+        distinct = lexical.small(asked.select("bucket", "term").distinct())
+        own = self.terms.join(distinct, "term").select("bucket", "term", "df")
+        pairs, most = n * questions, int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(1, -(-pairs // PAIRS), min(most, -(-pairs // LEAST_PAIRS)))
+        held = self.postings.filter(F.col("bucket").isin(buckets)).join(lexical.small(own), ["bucket", "term"]).drop("bucket").repartition(tasks, "id")
+        met = held.withColumnRenamed("id", "pmid").join(asked.drop("bucket"), "term")
         return lexical.weighed(met.crossJoin(F.broadcast(self.size)), s)  # one row
 
 

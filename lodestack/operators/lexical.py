@@ -42,10 +42,10 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def weighed(met: DataFrame, s: Settings) -> DataFrame:
-    """Adds the BM25 weight ``w`` to rows with tf, df, length, n and avg_length; id becomes pmid."""
+    """Adds the BM25 weight ``w`` to rows with tf, df, length, n and avg_length."""
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("length") / F.col("avg_length"))
-    return met.withColumn("w", idf * F.col("tf") * (s.bm25_k1 + 1) / norm).withColumnRenamed("id", "pmid")
+    return met.withColumn("w", idf * F.col("tf") * (s.bm25_k1 + 1) / norm)
 
 
 def strict_groups(questions: DataFrame, keywords: Callable[[Column], Column] | None = None) -> DataFrame:

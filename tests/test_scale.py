@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import numpy as np
 
 from lodestack.config import DEFAULT
-from lodestack.operators import context
+from lodestack.operators import context, index
 
 
 def test_only_titles_that_may_be_near_are_aligned(monkeypatch):
@@ -37,3 +37,17 @@ def test_only_the_columns_to_keep_go_through_the_title_walk(spark):
     few = context.greedy_dedup(df, keep=["question_id", "pmid"])
     assert few.columns == ["question_id", "pmid", "kept_rank"]
     assert sorted(few.collect()) == sorted(context.greedy_dedup(df).select(few.columns).collect())
+
+
+def test_an_index_is_built_without_a_shuffle_of_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"ponies word{i} common common", None if i % 2 else f"pony été w{i % 7}") for i in range(300)], "pmid long, title string, abstract string")
+    docs = docs.unionByName(spark.createDataFrame([(300, None, None), (301, "", "")], docs.schema))
+    built = index.Lexical.build(docs.repartition(3), f"{tmp_path}/i", True)
+    files = {f.name.split("-")[1] for f in (tmp_path / "i" / "postings").glob(f"bucket={index.DOCUMENTS}/*.parquet")}
+    held = [(r.term, r.id, r.tf, r.length) for r in built.postings.collect()]
+    assert len(files) == 3  # each task wrote its own; a shuffle by bucket leaves one file a bucket
+    assert len(held) == len(set(held)) and all(isinstance(t, str) for t, *_ in held)
+    assert {(t, i, n) for t, i, n, _ in held if i == 4} == {("poni", 4, 2), ("word4", 4, 1), ("common", 4, 2), ("et", 4, 1), ("w4", 4, 1)}
+    assert {r.id: r.length for r in built.documents.collect()} == {i: 4 + 3 * (i % 2 == 0) for i in range(300)} | {300: 0, 301: 0}
+    assert {r.term: (r.df, r.cf) for r in built.terms.collect()}["common"] == (300, 600)
+    assert tuple(built.size.first()) == (302, sum(4 + 3 * (i % 2 == 0) for i in range(300)) / 302)
