@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from lodestack.config import DEFAULT, Settings
 from lodestack.functions import stem
@@ -27,7 +28,7 @@ POSTINGS = "term string, id long, tf long, length long, bucket int"
 #: Documents of one Arrow batch of the build; stems that a worker remembers; bytes of a Parquet row group of postings.
 BATCH, STEMS, ROW_GROUP = 1000, 500_000, 8 << 20
 #: Pairs of a document and a question that one task scores, at most, and those that are worth a task of their own.
-PAIRS, LEAST_PAIRS = 2_000_000, 100_000
+PAIRS, LEAST_PAIRS = 2_000_000, 500_000
 
 
 def bucket(term):
@@ -80,6 +81,52 @@ def counted(stemmed: bool):
     return run
 
 
+def best_of(of: list[np.ndarray], questions: int, k: int):
+    """For mapInArrow: rows (id, no, w) in the order of id to (q, pmid, score), the partition's k best of each question, ties
+    to the smaller id. of: the questions that ask for each term. Blocks of whole papers are matrices of their weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows kept so far by question, and the score that a further one must reach in each.
+        q, pmid, score, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(questions, -np.inf)
+        most = max(1, PAIRS // max(1, questions))
+
+        def add(ids: np.ndarray, no: np.ndarray, w: np.ndarray) -> None:
+            nonlocal q, pmid, score
+            papers, row = np.unique(ids, return_inverse=True)
+            for low in range(0, len(papers), most):
+                block = (row >= low) & (row < low + most)
+                at, terms, ws = row[block] - low, no[block], w[block]
+                order = np.argsort(terms, kind="stable")
+                cuts = np.flatnonzero(np.diff(terms[order])) + 1
+                sums = np.zeros((min(most, len(papers) - low), questions))
+                for part in np.split(order, cuts):
+                    sums[np.ix_(at[part], of[terms[part[0]]])] += ws[part, None]
+                rounded = np.floor(sums * 1e6 + 0.5)
+                p, c = np.nonzero((sums > 0) & (rounded >= floor))
+                q, pmid, score = np.concatenate([q, c]), np.concatenate([pmid, papers[low + p]]), np.concatenate([score, sums[p, c]])
+                order = np.lexsort((pmid, -np.floor(score * 1e6 + 0.5), q))
+                q, pmid, score = q[order], pmid[order], score[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                last = nth == k - 1
+                floor[q[last]] = np.floor(score[last] * 1e6 + 0.5)
+                q, pmid, score = q[nth < k], pmid[nth < k], score[nth < k]
+
+        waiting: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            ids, no, w = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            waiting.append((ids, no, w))
+            if sum(len(x[0]) for x in waiting) >= PAIRS // 4:
+                ids, no, w = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                done = np.searchsorted(ids, ids[-1])  # the last paper may go on
+                add(ids[:done], no[:done], w[:done])
+                waiting = [(ids[done:], no[done:], w[done:])]
+        if waiting:
+            add(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(pmid), pa.array(score)], ["q", "pmid", "score"])
+
+    return run
+
+
 @dataclass
 class Lexical:
     """postings (bucket, term, id, tf, length of the document), documents (id, length), terms (term, df, cf) and size (n,
@@ -127,7 +174,23 @@ class Lexical:
         terms: (question_id, term), repeats count once. Only the buckets of the questions' terms are read. Scores are
         rounded to six digits; ties go to the smaller pmid.
         """
-        scored = self.weigh(self.asked(terms), s).groupBy("question_id", "pmid").agg(F.round(F.sum("w"), 6).alias("score"))
+        asked = self.asked(terms)
+        if asked.limit(lexical.BROADCAST_ROWS + 1).count() > lexical.BROADCAST_ROWS:
+            scored = self.weigh(asked, s).groupBy("question_id", "pmid").agg(F.round(F.sum("w"), 6).alias("score"))
+            return lexical.top_k(scored, k)
+        rows = asked.select("question_id", "term").collect()  # at most BROADCAST_ROWS
+        questions, names = list(dict.fromkeys(r.question_id for r in rows)), sorted({r.term for r in rows})
+        number, place = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(questions)}
+        of: list[list[int]] = [[] for _ in names]
+        for r in rows:
+            of[number[r.term]].append(place[r.question_id])
+        spark = self.postings.sparkSession
+        numbered = spark.createDataFrame(list(number.items()), "term string, no int")
+        keys = spark.createDataFrame([(i, q) for q, i in place.items()], StructType().add("q", IntegerType()).add("question_id", terms.schema["question_id"].dataType))
+        weight = lexical.weighed(self.held(asked, len(questions), numbered).crossJoin(F.broadcast(self.size)), s)
+        best = best_of([np.array(sorted(x)) for x in of], len(questions), k)
+        found = weight.select("id", "no", "w").sortWithinPartitions("id").mapInArrow(best, "q int, pmid long, score double")
+        scored = found.join(F.broadcast(keys), "q").select("question_id", "pmid", F.round("score", 6).alias("score"))
         return lexical.top_k(scored, k)
 
     def bm25_strict(self, groups: DataFrame, k: int, s: Settings = DEFAULT) -> DataFrame:
@@ -139,19 +202,23 @@ class Lexical:
         return lexical.top_k(met.filter("held = need").drop("held", "need"), k)
 
     def weigh(self, asked: DataFrame, s: Settings) -> DataFrame:
-        """A row with the weight ``w`` for each of asked and each paper that holds its term.
+        """A row with the weight ``w`` for each of asked and each paper that holds its term. What is then grouped by
+        question and paper is not shuffled again."""
+        met = self.held(asked, asked.select("question_id").distinct().count()).withColumnRenamed("id", "pmid").join(asked.drop("bucket"), "term")
+        return lexical.weighed(met.crossJoin(F.broadcast(self.size)), s)  # one row
 
-        Postings of asked terms are dealt out by paper, once for all questions; they meet the questions only then, so what
-        is grouped by question and paper is not shuffled again. Tasks are as many as pairs of both need.
-        """
-        n, questions, buckets = self.size.first().n, asked.select("question_id").distinct().count(), [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
-        distinct = lexical.small(asked.select("bucket", "term").distinct())
-        own = self.terms.join(distinct, "term").select("bucket", "term", "df")
-        pairs, most = n * questions, int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def held(self, asked: DataFrame, questions: int, numbered: DataFrame | None = None) -> DataFrame:
+        """Postings (id, tf, length, df) of the asked terms, once for all questions, dealt out by paper to as many tasks
+        as the pairs of a paper and a question need. With the term, or its number (term, no) if that is given."""
+        buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
+        distinct = asked.select("bucket", "term").distinct()
+        own = self.terms.join(lexical.small(distinct), "term").select("bucket", "term", "df")
+        if numbered is not None:
+            own = own.join(F.broadcast(numbered), "term")
+        pairs, most = self.size.first().n * questions, int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         tasks = max(1, -(-pairs // PAIRS), min(most, -(-pairs // LEAST_PAIRS)))
-        held = self.postings.filter(F.col("bucket").isin(buckets)).join(lexical.small(own), ["bucket", "term"]).drop("bucket").repartition(tasks, "id")
-        met = held.withColumnRenamed("id", "pmid").join(asked.drop("bucket"), "term")
-        return lexical.weighed(met.crossJoin(F.broadcast(self.size)), s)  # one row
+        met = self.postings.filter(F.col("bucket").isin(buckets)).join(lexical.small(own), ["bucket", "term"])
+        return met.select("id", "term" if numbered is None else "no", "tf", "length", "df").repartition(tasks, "id")
 
 
 @dataclass

@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestack.config import DEFAULT
 from lodestack.operators import context, index
@@ -51,3 +52,18 @@ def test_an_index_is_built_without_a_shuffle_of_postings(spark, tmp_path):
     assert {r.id: r.length for r in built.documents.collect()} == {i: 4 + 3 * (i % 2 == 0) for i in range(300)} | {300: 0, 301: 0}
     assert {r.term: (r.df, r.cf) for r in built.terms.collect()}["common"] == (300, 600)
     assert tuple(built.size.first()) == (302, sum(4 + 3 * (i % 2 == 0) for i in range(300)) / 302)
+
+
+def test_bm25_reads_postings_once_and_agrees_with_the_rows_of_each_pair(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", weights=range(1, 9), k=rng.randint(1, 9)))) for i in range(120)], "pmid long, title string").withColumn("abstract", F.lit(""))
+    built = index.Lexical.build(docs, f"{tmp_path}/i", False)
+    terms = spark.createDataFrame([(q, t) for q in range(9) for t in rng.sample("abcdefghz", 3)], "question_id long, term string")
+    monkeypatch.setattr(index, "PAIRS", 60)
+    found = built.bm25(terms, 7)
+    assert "i/documents" not in found._jdf.queryExecution().toString()
+    got = sorted((r.question_id, r.pos, r.pmid, r.score) for r in found.collect())
+    rows = built.weigh(built.asked(terms), DEFAULT).groupBy("question_id", "pmid").agg(F.round(F.sum("w"), 6).alias("score")).collect()
+    want = [(q, i + 1, p, -s) for q in range(9) for i, (s, p) in enumerate(sorted((-r.score, r.pmid) for r in rows if r.question_id == q)[:7])]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and max(abs(a[3] - b[3]) for a, b in zip(got, want, strict=True)) < 1e-9
+    assert built.bm25(terms.limit(0), 7).count() == 0
