@@ -77,6 +77,7 @@ def search(corpus: Corpus, questions: DataFrame, top_n: int, s: Settings = DEFAU
 
 
 def select(found: DataFrame, corpus: Corpus, s: Settings = DEFAULT) -> DataFrame:
-    """The chosen evidence of a search result that has the question's text in ``question``."""
-    whole = found.drop("abstract").join(corpus.papers.select("pmid", "abstract"), "pmid")
+    """The chosen evidence of a search result that has the question's text in ``question``. The result is written, since
+    it is counted before it is sent to the papers; their texts are not shuffled."""
+    whole = lexical.small(written(found.drop("abstract"), "found")).join(corpus.papers.select("pmid", "abstract"), "pmid")
     return evidence.select_evidence(whole.withColumn("rank", F.col("context_pos")), s)

@@ -18,7 +18,7 @@ from lodestack.plans.fixtures import view
 from lodestack.sources import artifacts as A
 from lodestack.sources import chunks
 from lodestack.sources import records as R
-from lodestack.storage import new_folder
+from lodestack.storage import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -218,6 +218,11 @@ def chosen(spark, d) -> DataFrame:
     return plan.select(plan.search(c, expanded, 30).join(probes, "question_id"), c)
 
 
+def chosen_papers(spark, d) -> DataFrame:
+    """The chosen evidence with its papers' columns, written: search runs once, and papers' texts are not shuffled."""
+    return written(lexical.small(written(chosen(spark, d), "chosen")).join(view(spark, d, "papers"), "pmid"), "chosen-papers")
+
+
 # --- scores
 
 
@@ -499,7 +504,7 @@ def parse_chunk_json(spark, d):
 @query
 def answer_pipeline(spark, d):
     """Search, select, answer with the stand-in model, validate."""
-    c = chosen(spark, d).join(view(spark, d, "papers"), "pmid")
+    c = chosen_papers(spark, d)
     return C.validate(models.answer(c, view(spark, d, "probes"))).select("question_id", "answer")
 
 
@@ -659,5 +664,5 @@ def encoded_papers(spark, d):
 @query
 def answer_response(spark, d):
     """What a service returns for the probes."""
-    c = chosen(spark, d).join(view(spark, d, "papers"), "pmid")
+    c = chosen_papers(spark, d)
     return models.response(C.validate(models.answer(c, view(spark, d, "probes"))), c)

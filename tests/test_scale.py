@@ -67,3 +67,15 @@ def test_bm25_reads_postings_once_and_agrees_with_the_rows_of_each_pair(spark, t
     want = [(q, i + 1, p, -s) for q in range(9) for i, (s, p) in enumerate(sorted((-r.score, r.pmid) for r in rows if r.question_id == q)[:7])]
     assert [x[:3] for x in got] == [x[:3] for x in want] and max(abs(a[3] - b[3]) for a, b in zip(got, want, strict=True)) < 1e-9
     assert built.bm25(terms.limit(0), 7).count() == 0
+
+
+def test_answers_search_once_and_do_not_shuffle_papers(spark, sf_dir, monkeypatch):
+    from lodestack import queries
+
+    searched, search = [], queries.chosen
+    monkeypatch.setattr(queries, "chosen", lambda *a: searched.append(search(*a)) or searched[-1])
+    found = queries.QUERIES["answer_response"](spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(searched) == 1 and "documents.parquet" not in plan and "FlatMapGroupsInPandas" not in plan
+    assert found.count() > 0
+    assert "rightHint=(strategy=broadcast)" in searched[0]._jdf.queryExecution().optimizedPlan().toString() or "leftHint=(strategy=broadcast)" in searched[0]._jdf.queryExecution().optimizedPlan().toString()
